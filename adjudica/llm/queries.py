@@ -15,6 +15,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from adjudica.llm.matroska import read_media, store_media
+
+    return read_media(store_media(table(spark, sf_dir, "documents")))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from adjudica.llm.mixing import mix
 
@@ -22,6 +28,21 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
 
 
+def op7_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from adjudica.llm.balltree import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from adjudica.llm.simhash import link
+
+    linked = link(table(spark, sf_dir, "documents"))
+    return linked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from adjudica.llm.token_files import token_files
 
@@ -44,7 +65,20 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < r
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_matroska": op3_matroska,
     "op4_mixing": op4_mixing,
+    "op7_balltree": op7_balltree,
+    "op8_simhash": op8_simhash,
     "op10_token_files": op10_token_files,
 }
-ORACLE: dict[str, str] = {"op4_mixing": OP4_SQL}
+OP7_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+    AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
+    FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+ORACLE: dict[str, str] = {"op4_mixing": OP4_SQL, "op7_balltree": OP7_SQL}
