@@ -43,6 +43,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from adjudica.llm.toxicity import fit, score
+
+    documents = table(spark, sf_dir, "documents")
+    return score(documents, fit(documents, table(spark, sf_dir, "labels")))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from adjudica.llm.token_files import token_files
 
@@ -69,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op7_balltree": op7_balltree,
     "op8_simhash": op8_simhash,
+    "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
 }
 OP7_SQL = """
