@@ -15,6 +15,20 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op2_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits per document, placed by hash: an insertion, a deletion and a replacement."""
+    from pyspark.sql import functions as F
+
+    from adjudica.llm.edit_counts import count_edited
+
+    def edit(nth: int, deleted: int, inserted: str):
+        place = F.pmod(F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.lit(nth)), F.coalesce(F.length("text"), F.lit(0)) + 1)
+        return F.struct(place.cast("long").alias("position"), F.lit(deleted).cast("long").alias("deleted"), F.lit(inserted).alias("inserted"))
+
+    edits = F.array(edit(1, 0, " one more sentence, put in here. "), edit(2, 9, ""), edit(3, 4, "changed"))
+    return count_edited(table(spark, sf_dir, "documents").withColumn("edits", edits))
+
+
 def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     from adjudica.llm.matroska import read_media, store_media
 
@@ -28,6 +42,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from adjudica.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -89,8 +109,10 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < r
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_edit_counts": op2_edit_counts,
     "op3_matroska": op3_matroska,
     "op4_mixing": op4_mixing,
+    "op5_licenses": op5_licenses,
     "op6_chat": op6_chat,
     "op7_balltree": op7_balltree,
     "op8_simhash": op8_simhash,
@@ -107,6 +129,26 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+def op5_sql() -> str:
+    from adjudica.llm.licenses import LEAST, LOWER, TEMPLATES, UPPER, template_rows
+
+    rows = ", ".join(f"('{n}', {size}, {lo!r}::DOUBLE, {hi!r}::DOUBLE, '{b}', {k})" for n, size, lo, hi, b, k in template_rows(TEMPLATES, LEAST))
+    return rf"""
+WITH t(license_id, template_bigrams, lo, hi, bigram, times) AS (VALUES {rows}),
+d AS (SELECT row_number() OVER () AS r, doc_id, text, regexp_split_to_array(text, '\n[ \t\r]*\n') AS p FROM documents WHERE text IS NOT NULL AND text <> ''),
+u AS (SELECT r, doc_id, 'line' AS unit, unnest(range(len(string_split(text, chr(10))))) AS unit_no, unnest(string_split(text, chr(10))) AS x FROM d
+    UNION ALL SELECT * FROM (SELECT r, doc_id, 'paragraph', unnest(range(len(p))), unnest(p) AS x FROM d) WHERE contains(x, chr(10))
+    UNION ALL SELECT r, doc_id, 'text', 0, text FROM d WHERE len(p) > 1),
+n AS (SELECT r, doc_id, unit, unit_no, string_split(trim(regexp_replace(translate(x, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM u),
+b AS (SELECT r, doc_id, unit, unit_no, len(w) - 1 AS n_bigrams, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram FROM n),
+m AS (SELECT r, doc_id, unit, unit_no, license_id, n_bigrams, template_bigrams, bigram, least(count(*), any_value(times)) AS n_common
+    FROM b JOIN t USING (bigram) WHERE n_bigrams BETWEEN lo AND hi GROUP BY ALL),
+s AS (SELECT r, doc_id, unit, unit_no, license_id, n_bigrams, 2.0::DOUBLE * sum(n_common)::BIGINT / (n_bigrams + template_bigrams) AS dice
+    FROM (SELECT * FROM m) GROUP BY r, doc_id, unit, unit_no, license_id, n_bigrams, template_bigrams)
+SELECT doc_id, unit, unit_no::INTEGER AS unit_no, license_id, n_bigrams::BIGINT AS n_bigrams, dice FROM s WHERE dice >= {LEAST}
+"""
+
+
 OP6_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT -7, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
@@ -120,4 +162,4 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLE: dict[str, str] = {"op6_chat": OP6_SQL, "op4_mixing": OP4_SQL, "op7_balltree": OP7_SQL}
+ORACLE: dict[str, str] = {"op5_licenses": op5_sql(), "op6_chat": OP6_SQL, "op4_mixing": OP4_SQL, "op7_balltree": OP7_SQL}
