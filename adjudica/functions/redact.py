@@ -21,7 +21,7 @@ def replace_each(x: Column, pattern: str, mask, groups: tuple[int, ...] = (0,))
     """``mask`` takes the groups of one match."""
     names = [f"g{g}" for g in groups]
     matches = F.arrays_zip(*[F.regexp_extract_all(x, F.lit(pattern), g).alias(n) for g, n in zip(groups, names, strict=True)])
-    matches = F.transform(matches, lambda m: mask(*[m[str(i)] if len(groups) > 1 else m["0"] for i in range(len(groups))]))
+    matches = F.transform(matches, lambda m: mask(*[m[n] for n in names]))
     parts = F.split(x, pattern, -1)
     masked = F.array_join(F.zip_with(parts, matches, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
     return F.when(x.rlike(pattern), masked).otherwise(x)

@@ -13,34 +13,46 @@ FAILED = "named_struct('decision','review','confidence',0.4D,'requires_human',tr
 
 def decide(df: DataFrame, fields_col: str = "normalized", out: str = "decision") -> DataFrame:
     """Adds the decision struct; reasons and flags stand in the order of the rules."""
-    f = F.col(fields_col)
-    made = df.withColumns({"_amount": X.float_plain(f["amount_estimated"]["value"]), "_insured": X.float_plain(f["insured_amount"]["value"]), "_low": low_confidence_of(f)})
-    amount, insured = F.col("_amount"), F.col("_insured")
+    return df.withColumn(out, X.let(F.col(fields_col), lambda f: F.when(f.isNotNull(), decision_of(f)).otherwise(F.expr(FAILED))))
+
+
+def decision_of(f: Column) -> Column:
+    read = F.struct(
+        X.float_plain(f["amount_estimated"]["value"]).alias("amount"),
+        X.float_plain(f["insured_amount"]["value"]).alias("insured_amount"),
+        low_confidence_of(f).alias("low_confidence_fields"),
+        F.lower(F.coalesce(f["damage"]["value"], F.lit(""))).rlike(S.SEVERE_DAMAGE).alias("severe"),
+    )
+    return X.let(read, lambda r: X.let(case_of(r["amount"], r["insured_amount"]), lambda case: decision_with(r, case)))
+
+
+def case_of(amount: Column, insured: Column) -> Column:
     ratio = F.when(insured > 0, amount / insured).otherwise(0.0)
-    case = F.when(amount.isNull() | insured.isNull(), "unknown").when(amount <= 0, "nothing").when(amount > insured, "over").when(ratio >= 0.9, "near").otherwise("within")
-    made = made.withColumn("_case", case).withColumn("_severe", F.lower(F.coalesce(f["damage"]["value"], F.lit(""))).rlike(S.SEVERE_DAMAGE))
-    decision = _by_case({"nothing": "reject", "over": "reject", "within": "approve"}, "review")
-    base = _by_case({"nothing": 0.95, "over": 0.95, "near": 0.75, "within": 0.9}, 0.45)
-    doubtful = F.size("_low") > 0
-    reason = _by_case({"nothing": "non_positive_claim_amount", "over": "claimed_amount_exceeds_insured", "near": "amount_close_to_insured_limit", "within": "amount_within_insured_limit"}, "insufficient_amount_information")
-    flag = _by_case({"nothing": "invalid_amount", "over": "over_limit", "near": "near_limit", "within": "within_limit"}, None)
+    return F.when(amount.isNull() | insured.isNull(), "unknown").when(amount <= 0, "nothing").when(amount > insured, "over").when(ratio >= 0.9, "near").otherwise("within")
+
+
+def by_case(case: Column, rows: dict, rest) -> Column:
+    out = F.lit(rest) if rest is not None else F.lit(None).cast("string")
+    for name, value in rows.items():
+        out = F.when(case == name, F.lit(value)).otherwise(out)
+    return out
+
+
+def decision_with(r: Column, case: Column) -> Column:
+    doubtful = F.size(r["low_confidence_fields"]) > 0
+    decision = by_case(case, {"nothing": "reject", "over": "reject", "within": "approve"}, "review")
+    base = by_case(case, {"nothing": 0.95, "over": 0.95, "near": 0.75, "within": 0.9}, 0.45)
+    reason = by_case(case, {"nothing": "non_positive_claim_amount", "over": "claimed_amount_exceeds_insured", "near": "amount_close_to_insured_limit", "within": "amount_within_insured_limit"}, "insufficient_amount_information")
+    flag = by_case(case, {"nothing": "invalid_amount", "over": "over_limit", "near": "near_limit", "within": "within_limit"}, None)
     said = lambda condition, code: F.when(condition, F.lit(code))
-    reasons = F.array(said(amount.isNull(), "amount_missing_or_invalid"), said(insured.isNull(), "insured_amount_missing_or_invalid"), said(F.col("_severe"), "high_risk_damage_detected"), reason, said(doubtful, "low_confidence_fields_present"))
-    flags = F.array(said(amount.isNull(), "missing_amount"), said(insured.isNull(), "missing_insured_amount"), said(F.col("_severe"), "high_risk"), flag, said(doubtful, "low_confidence"))
-    confidence = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base - F.when(doubtful, 0.2).otherwise(0.0))), 2)
-    result = F.struct(
+    no_amount, no_insured = r["amount"].isNull(), r["insured_amount"].isNull()
+    reasons = F.array(said(no_amount, "amount_missing_or_invalid"), said(no_insured, "insured_amount_missing_or_invalid"), said(r["severe"], "high_risk_damage_detected"), reason, said(doubtful, "low_confidence_fields_present"))
+    flags = F.array(said(no_amount, "missing_amount"), said(no_insured, "missing_insured_amount"), said(r["severe"], "high_risk"), flag, said(doubtful, "low_confidence"))
+    return F.struct(
         decision.alias("decision"),
-        confidence.alias("confidence"),
+        F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base - F.when(doubtful, 0.2).otherwise(0.0))), 2).alias("confidence"),
         ((decision == "review") | doubtful).alias("requires_human"),
         F.array_compact(reasons).alias("reasons"),
-        F.struct(amount.alias("amount"), insured.alias("insured_amount"), F.col("_low").alias("low_confidence_fields")).alias("evidence"),
+        r.dropFields("severe").alias("evidence"),
         F.array_compact(flags).alias("flags"),
     )
-    return made.withColumn(out, F.when(f.isNotNull(), result).otherwise(F.expr(FAILED))).drop("_amount", "_insured", "_low", "_case", "_severe")
-
-
-def _by_case(rows: dict, rest) -> Column:
-    out = F.lit(rest) if rest is not None else F.lit(None).cast("string")
-    for name, value in rows.items():
-        out = F.when(F.col("_case") == name, F.lit(value)).otherwise(out)
-    return out

@@ -82,36 +82,45 @@ def is_low(score: Column, label: Column, settings: S.Settings = S.DEFAULTS) -> C
 def validate(df: DataFrame, as_of: date, fields_col: str = "normalized", out: str = "validation", settings: S.Settings = S.DEFAULTS, several_col: str | None = None) -> DataFrame:
     """Adds the validation struct. ``several_col``: names of the fields with more than one candidate."""
     several = F.col(several_col) if several_col else None
-    made = df.withColumn("_f", X.held(not_provided(F.col(fields_col))))
-    f = F.col("_f")
-    made = made.withColumns({"_issues": issues_of(f), "_warnings": warnings_of(f, as_of, settings, several), "_low": low_confidence_of(f), "_missing": codes(*[(~present(f[n]), n) for n in S.REQUIRED])})
-    exceeds = F.array_contains("_issues", "amount_exceeds_insured")
-    about_amount = F.size(F.filter("_issues", lambda i: F.contains(i, F.lit("amount")) | F.contains(i, F.lit("non_positive"))))
-    risk = F.lit(0.10) + 0.20 * F.size("_missing") + 0.18 * about_amount + 0.05 * F.size("_warnings") + 0.05 * F.size("_low") + F.when(exceeds, 0.35).otherwise(0.0)
-    made = made.withColumn("_risk", F.greatest(F.lit(0.0), F.least(F.lit(1.0), risk)))
-    advice = F.when(exceeds, "reject").when(F.size("_missing") > 0, "review").when(F.col("_risk") >= 0.7, "review").otherwise("approve")
-    made = made.withColumn("_advice", advice)
-    given = F.array_compact(F.array(F.when(exceeds, F.lit("Claimed amount greater than insured amount.")), F.when(F.array_contains("_issues", "non_positive_amount"), F.lit("Claim amount is zero or negative."))))
-    default = F.when(F.col("_advice") == "approve", "All required fields valid.").when(F.col("_advice") == "review", "Some fields need manual review.").otherwise("Critical violation detected.")
+
+    def judged(f: Column) -> Column:
+        missing = codes(*[(~present(f[n]), n) for n in S.REQUIRED])
+        found = F.struct(issues_of(f).alias("issues"), warnings_of(f, as_of, settings, several).alias("warnings"), low_confidence_of(f).alias("low"), missing.alias("missing"))
+        return X.let(found, lambda c: X.let(advice_of(c), lambda a: result_of(f, c, a, settings)))
+
+    return df.withColumn(out, F.when(F.col(fields_col).isNotNull(), X.let(not_provided(F.col(fields_col)), judged)))
+
+
+def advice_of(c: Column) -> Column:
+    """struct<risk, advice>."""
+    exceeds = F.array_contains(c["issues"], "amount_exceeds_insured")
+    about_amount = F.size(F.filter(c["issues"], lambda i: F.contains(i, F.lit("amount")) | F.contains(i, F.lit("non_positive"))))
+    risk = F.lit(0.10) + 0.20 * F.size(c["missing"]) + 0.18 * about_amount + 0.05 * F.size(c["warnings"]) + 0.05 * F.size(c["low"]) + F.when(exceeds, 0.35).otherwise(0.0)
+    advice = lambda r: F.when(exceeds, "reject").when(F.size(c["missing"]) > 0, "review").when(r >= 0.7, "review").otherwise("approve")
+    return X.let(F.greatest(F.lit(0.0), F.least(F.lit(1.0), risk)), lambda r: F.struct(r.alias("risk"), advice(r).alias("advice")))
+
+
+def result_of(f: Column, c: Column, a: Column, settings: S.Settings) -> Column:
+    given = F.array_compact(F.array(F.when(F.array_contains(c["issues"], "amount_exceeds_insured"), F.lit("Claimed amount greater than insured amount.")), F.when(F.array_contains(c["issues"], "non_positive_amount"), F.lit("Claim amount is zero or negative."))))
+    default = F.when(a["advice"] == "approve", "All required fields valid.").when(a["advice"] == "review", "Some fields need manual review.").otherwise("Critical violation detected.")
     names = F.array(*[F.lit(n) for n in S.FIELDS])
     explained = F.struct(
         F.lit(settings.low_score).alias("low_confidence_threshold"),
-        F.array_sort("_low").alias("low_confidence_fields"),
+        F.array_sort(c["low"]).alias("low_confidence_fields"),
         F.map_from_arrays(names, F.array(*[F.coalesce(f[n]["success"], F.lit(False)) for n in S.FIELDS])).alias("field_success_map"),
         F.map_from_arrays(names, F.array(*[F.coalesce(f[n]["notes"], F.lit("")) for n in S.FIELDS])).alias("field_notes"),
     )
-    result = F.struct(
+    return F.struct(
         f.alias("fields"),
-        F.array_sort(F.array_distinct("_issues")).alias("issues"),
-        F.array_sort(F.array_distinct("_warnings")).alias("warnings"),
-        F.array_sort(F.array_distinct("_missing")).alias("missing_required"),
-        F.round("_risk", 3).alias("risk_score"),
-        F.col("_advice").alias("recommendation"),
-        F.when(F.size(given) > 0, given).otherwise(F.array(default)).alias("decision_reasons"),
-        (F.size("_missing") == 0).alias("is_complete"),
+        F.array_sort(F.array_distinct(c["issues"])).alias("issues"),
+        F.array_sort(F.array_distinct(c["warnings"])).alias("warnings"),
+        F.array_sort(F.array_distinct(c["missing"])).alias("missing_required"),
+        F.round(a["risk"], 3).alias("risk_score"),
+        a["advice"].alias("recommendation"),
+        X.let(given, lambda g: F.when(F.size(g) > 0, g).otherwise(F.array(default))).alias("decision_reasons"),
+        (F.size(c["missing"]) == 0).alias("is_complete"),
         explained.alias("explainability"),
     )
-    return made.withColumn(out, F.when(F.col(fields_col).isNotNull(), result)).drop("_f", "_issues", "_warnings", "_low", "_missing", "_risk", "_advice")
 
 
 def fallback(validation: Column) -> Column:
