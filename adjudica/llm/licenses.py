@@ -4,7 +4,8 @@ A unit is a line, a paragraph of several lines, or a text of several paragraphs.
 letters a-z and digits in lower case, joined by spaces. With A and B bigrams (repeats included), a unit and a
 template whose bigrams overlap in C (smaller count of each) have the coefficient 2C / (A + B). To reach the least
 coefficient t, A must lie between B t / (2 - t) and B (2 - t) / t, so units outside all templates' bounds go before
-anything is compared, and each bigram meets only templates that its unit's size allows. What is compared is spread
+anything is compared, and each bigram meets only templates that its unit's size allows. It also follows that such a
+unit holds one of a few telling words, so texts without any go before they are cut into units. What is compared is spread
 over rows by bigram against the templates' few thousand bigrams, which are constants and broadcast; only bigrams that
 some template has are ever grouped.
 
@@ -14,6 +15,8 @@ doc_id is kept. An empty table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 LEAST = 0.8
@@ -72,6 +75,25 @@ def template_rows(templates: dict[str, str], least: float) -> list[tuple]:
     return out
 
 
+def telling_words(templates: dict[str, str], least: float) -> list[str]:
+    """Words of which any unit that reaches ``least`` has one. Such a unit has B t / (2 - t) of a template's B
+    bigrams or more, so at least one of any that outnumber the rest; words are taken, long ones that stand in many
+    bigrams first, until their bigrams do so for every template."""
+    own = {name: bigrams_of(text) for name, text in templates.items()}
+    need = {name: len(b) - math.ceil(len(b) * least / (2 - least) - 1e-9) + 1 for name, b in own.items()}
+    taken: list[str] = []
+    while True:
+        left = {n: [b for b in own[n] if not set(b.split()) & set(taken)] for n in own}
+        short = {n: k for n in own if (k := need[n] - (len(own[n]) - len(left[n]))) > 0}
+        if not short:
+            return taken
+        gains: dict[str, int] = {}
+        for n, k in short.items():
+            for word in {w for b in left[n] for w in b.split()}:
+                gains[word] = gains.get(word, 0) + min(k, sum(word in b.split() for b in left[n])) * len(word) ** 4
+        taken.append(max(gains, key=lambda w: (gains[w], w)))
+
+
 def template_table(spark: SparkSession, templates: dict[str, str], least: float) -> DataFrame:
     quoted = ", ".join(f"('{n}', {size}L, {lo!r}D, {hi!r}D, '{b}', {k}L)" for n, size, lo, hi, b, k in template_rows(templates, least))
     return spark.sql(f"SELECT * FROM VALUES {quoted} AS t(license_id, template_bigrams, lo, hi, bigram, times)")
@@ -100,7 +122,10 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     spark = df.sparkSession
     rows = template_rows(templates, least)
     low, high = min(r[2] for r in rows), max(r[3] for r in rows)
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null and text <> ''").withColumn("row", F.monotonically_increasing_id())
+    low_case, told = F.lower(F.col(text_col)), F.lit(False)
+    for word in telling_words(templates, least):
+        told = told | F.contains(low_case, F.lit(word))
+    docs = df.filter(told).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
     units = docs.select("row", "doc_id", F.inline(units_of(F.col("text"))))
     spaces = F.length("norm") - F.length(F.translate("norm", " ", ""))  # of single spaces between words: the bigrams
     sized = units.withColumn("n_bigrams", spaces.cast("long")).filter((F.col("n_bigrams") >= low) & (F.col("n_bigrams") <= high))

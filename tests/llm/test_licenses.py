@@ -47,3 +47,11 @@ def test_size_bounds_lose_nothing():
         for other in range(1, 400):
             if 2 * min(size, other) / (size + other) >= 0.8:
                 assert lo <= other <= hi
+
+
+def test_telling_words_lose_nothing():
+    words = L.telling_words(L.TEMPLATES, L.LEAST)
+    for text in L.TEMPLATES.values():
+        own = L.bigrams_of(text)
+        untold = [b for b in own if not set(b.split()) & set(words)]
+        assert 2 * len(untold) / (len(own) + len(untold)) < L.LEAST
