@@ -243,7 +243,7 @@ def fallback_summary(spark, sf_dir):
 
 
 @query()
-def claim_pipeline(spark, sf_dir):
+def text_to_decision(spark, sf_dir):
     """Text to decision, on every form."""
     made = process_text(forms(spark, sf_dir), AS_OF)
     return made.select("claim_key", F.col("validation.risk_score").alias("risk_score"), F.col("validation.recommendation").alias("recommendation"), F.col("inferred.policy_no.value").alias("policy_no"), F.col("summary.summary").alias("summary"), F.col("decision.decision").alias("decision"), "hitl_required")
@@ -255,8 +255,6 @@ MAIL_SQL = "'([a-zA-Z0-9_.+-]{1,64})@([a-zA-Z0-9-]+\\.[a-zA-Z0-9-.]+)'"
 
 
 def masked_sql(table: str, key: str, text: str = "text") -> str:
-
-
     return f"""WITH t AS (SELECT {key}, {text} AS x, regexp_split_to_array({text}, {MAIL_SQL}) AS parts, regexp_extract_all({text}, {MAIL_SQL}, 1) AS users, regexp_extract_all({text}, {MAIL_SQL}, 2) AS domains FROM {table})
 SELECT {key}, md5(array_to_string(list_transform(range(1, len(parts) + 1), lambda j: parts[j] || CASE WHEN j <= len(users) THEN users[j][1:greatest(1, least(3, length(users[j]) // 2))] || repeat('*', greatest(0, length(users[j]) - greatest(1, least(3, length(users[j]) // 2)))) || '@' || domains[j] ELSE '' END), '')) AS masked_md5 FROM t"""
 
