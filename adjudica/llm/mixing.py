@@ -6,7 +6,9 @@ above: with level x, a source's target is min(weight * x, most * size), so sorti
 they are full gives x in one pass. The repetition rate is target / size. A document is emitted floor(rate) times,
 and once more if the hash of its id and text, read as a fraction, is below the rate's fraction.
 
-Per source only sums move (partial sums before the shuffle); the join back is to one row per source. A null text
+Per source only sums move (partial sums before the shuffle). The targets, one row per source, are written first, so
+that their size is known when the join back is planned: texts stay where they are while it is small, and a hot source
+is split by adaptive execution where it is not. A null text
 has size 0; a null source is a source of its own, the last. Sources without words have target 0 and are not taken.
 Equal rows (same id and text) get the same number of copies. An empty table gives no rows.
 """
@@ -15,6 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from adjudica.llm.common import materialize
+
 WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3
 
@@ -60,7 +64,7 @@ def copies(rate: Column, fraction: Column) -> Column:
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST) -> DataFrame:
     """All columns of ``df`` with size, source_size, target and copies (own columns of those names are replaced)."""
     own = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"), word_count(F.col(text_col)).alias("size"))
-    targets = source_targets(own.select("source", "size"), most=most)
+    targets = materialize(source_targets(own.select("source", "size"), most=most), "targets")
     joined = own.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     taken = copies(rate, hash_fraction(F.col("id"), F.col("digest")))
