@@ -58,7 +58,7 @@ INFER = {
 MASK_EMAIL = r"([a-zA-Z0-9_.+-]{1,64})@([a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+)"
 MASK_PHONE = r"(?U)(\+?\d[\d\-\s.]{6,}\d)"
 MASK_ID = r"(?iU)\b(CLM|CLAIM|PN|POLICY|POL)\b([-:\s]*)?([A-Z0-9\-_/]+)"
-MASK_NAME = r"(?U)\b([A-Z][a-z]+)\s+([A-Z])[a-z]+\b"
+MASK_NAME = r"(?U)(?<![\p{L}\p{N}_])([A-Z][a-z]+)[\s\x1c-\x1f]+([A-Z])[a-z]+(?![\p{L}\p{N}_])"  # Python's \b and \s
 
 # Replacements before compatibility forms are folded, and mistyped mail domains.
 PUNCTUATION = {"\ufb01": "fi", "\ufb02": "fl", "\u2013": "-", "\u2014": "-", "\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"'}
