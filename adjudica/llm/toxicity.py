@@ -7,26 +7,31 @@ window does. Labels hold for texts, so training takes the window that scores hig
 start from log-odds of labelled texts; a last step, on texts that training did not see, fits scale and offset of the
 logit to the share of toxic labels.
 
-Training reads at most ``per_class`` labelled texts of each label (the smallest by hash of the id), each of at most
-``most_chars`` characters, of ids whose crc32 modulo 5 is not 0; scoring reads all of every text. Each input is the
-text alone. Empty and null texts have one window without words. Equal texts have equal scores; rows that repeat and
-null ids are scored each. Without labels of both kinds every score is the share of toxic labels (0 if there are
-none). An empty table gives no rows. Other columns are not read.
+Training reads at most ``per_class`` labelled texts of each label (the smallest by hash of the id among those of at most
+``most_chars`` characters), of ids whose crc32 modulo 5 is not 0. A label with fewer than ``few`` such texts is filled up
+to that many with longer ones, of which ``most_chars`` characters in five evenly spaced pieces are read. It runs in one
+task on an executor, over that bounded sample, and starts again there if it is lost; the driver gets the parameters, a
+few MB. Scoring reads all of every text. Each input is the text alone. Empty and null texts have one window without
+words. Equal texts have equal scores; rows that repeat and null ids are scored each, a null id counting as empty text in
+the fold (so held out) and never training. Without labels of both kinds every score is the share of toxic labels (0 if
+there are none). An empty table gives no rows. Other columns are not read; ``keep_clean`` keeps them all.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from adjudica.llm.common import materialize
 from adjudica.llm.units import slices
 
 WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 48, 24, 8, 8, 8, 8
-VOCABULARY, LEAST, GRAM_BITS, PER_CLASS, MOST_CHARS = 20_000, 4, 14, 1_500, 10_000
+VOCABULARY, LEAST, GRAM_BITS, PER_CLASS, MOST_CHARS, FEW = 20_000, 4, 14, 1_500, 10_000, 50
 EPOCHS, STEPS, BATCH, RATE, DECAY, FOLD = 5, 180, 64, 0.01, 0.02, 5
 CHUNK = 2048
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -81,7 +86,7 @@ class Words:
         for some, at, grams in self.grams:
             if len(some):
                 out[some] += np.add.reduceat(table[grams], at, axis=0)
-        return out / self.total[:, None]
+        return out / np.maximum(self.total, 1)[:, None]  # the blank word has no n-grams
 
     def spread(self, rows: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
         """The gradient of ``mean``: what the given words' gradients add to each n-gram's row."""
@@ -334,22 +339,62 @@ def calibrated(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[np.ndarray,
 
 
 def fold(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string")) % FOLD
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % FOLD
 
 
-def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, most_chars: int = MOST_CHARS) -> Network | float:
-    """Trained on a bounded sample; the share of toxic labels instead if only one kind is there."""
+def sample(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int, most_chars: int, few: int) -> DataFrame:
+    """(id, label, long, text) of the texts to train on: one row per id, the smallest of its texts."""
     own = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(F.col(id_col)) != 0)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    known = documents.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sized = known.select("id", (F.length("text") > most_chars).alias("long")).join(own, "id").groupBy("id", "label").agg(F.min("long").alias("long"))
+    nth = F.row_number().over(Window.partitionBy("label", "long").orderBy(F.xxhash64("id"), "id"))
+    ids = sized.withColumn("nth", nth).filter(F.col("nth") <= max(per_class, few)).filter(F.col("nth") <= F.when(F.col("long"), few).otherwise(per_class))
+    ids = ids.drop("nth")  # 2 * (per_class + few) rows at most
+    texts = known.join(F.broadcast(ids), "id").filter(F.col("long") == (F.length("text") > most_chars))
+    step = F.floor(F.length("text") / 5).cast("int")
+    pieces = F.concat_ws(" ", *[F.substring(F.col("text"), step * i + 1, F.lit(most_chars // 5)) for i in range(5)])
+    return texts.withColumn("text", F.when(F.col("long"), pieces).otherwise(F.col("text"))).groupBy("id", "label", "long").agg(F.min("text").alias("text"))
+
+
+def freeze(net: Network) -> bytes:
+    out = io.BytesIO()
+    np.savez_compressed(out, known=net.known, **net.p)
+    return out.getvalue()
+
+
+def thaw(raw: bytes) -> Network:
+    with np.load(io.BytesIO(raw)) as held:
+        return Network({k: held[k] for k in held if k != "known"}, held["known"])
+
+
+def trainer(prior: float, few: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        short = {label: sum(r["label"] == label and not r["long"] for r in rows) for label in (0, 1)}
+        rows.sort(key=lambda r: (r["long"], str(r["id"])))
+        used, seen = [], {0: 0, 1: 0}
+        for r in rows:
+            if not r["long"] or short[r["label"]] + seen[r["label"]] < few:
+                seen[r["label"]] += r["long"]
+                used.append(r)
+        used.sort(key=lambda r: str(r["id"]))
+        made = [freeze(train([r["text"] for r in used], [r["label"] for r in used], prior))] if len({r["label"] for r in used}) == 2 else []
+        yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["model"])
+
+    return run
+
+
+def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, most_chars: int = MOST_CHARS, few: int = FEW) -> Network | float:
+    """Trained on a bounded sample; the share of toxic labels instead if only one kind is there."""
+    own = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(F.col(id_col)) != 0)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
     shares = {r.label: r.n for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
     toxic, clean = shares.get(1, 0), shares.get(0, 0)
-    order = F.xxhash64("id")
-    ids = own.filter("label = 1").orderBy(order, "id").limit(per_class).union(own.filter("label = 0").orderBy(order, "id").limit(per_class))
-    known = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") <= most_chars)
-    rows = known.join(F.broadcast(ids), "id").groupBy("id", "label").agg(F.min("text").alias("text")).collect() if toxic and clean else []  # 2 * per_class rows at most
-    rows.sort(key=lambda r: str(r.id))
-    if len({r.label for r in rows}) < 2:
-        return toxic / (toxic + clean) if toxic + clean else 0.0
-    return train([r.text for r in rows], [r.label for r in rows], toxic / (toxic + clean))
+    if not toxic or not clean:
+        return float(bool(toxic))
+    rows = sample(documents, labels, id_col, text_col, label_col, per_class, most_chars, few)
+    made = materialize(rows.repartition(1).mapInArrow(trainer(toxic / (toxic + clean), few), "model binary"), "toxicity-model")
+    models = made.collect()  # one at most
+    return thaw(models[0].model) if models else toxic / (toxic + clean)
 
 
 def score_column(text: Column, model: Network | float) -> Column:

@@ -99,6 +99,7 @@ def test_operator(spark):
     got = T.score(df, net).collect()
     assert len(got) == len(docs) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got if r.doc_id is not None)
+    assert [r.held_out for r in got if r.doc_id is None] == [True]
     truth = {i: y for i, _, y in rows}
     held = [r for r in got if r.held_out and r.doc_id in truth]
     assert sum(r.predicted == truth[r.doc_id] for r in held) / len(held) > 0.95
@@ -117,3 +118,57 @@ def test_no_labels(spark):
     one = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     assert [r.score for r in T.score(df, T.fit(df, one)).collect()] == [1.0]
     assert T.score(df.limit(0), 0.0).collect() == []
+
+
+def test_long_texts_train_where_short_ones_are_too_few(spark):
+    """Toxic texts of more than most_chars characters only: pieces of them train, and no constant takes their place."""
+    rng, plain = random.Random(5), ["kara", "lone", "miso", "tura", "kane"]
+    docs, labels = [], []
+    for i in range(200):
+        toxic = i % 2
+        words = [rng.choice(plain + ["vilescum"] * toxic) for _ in range(600 if toxic else 60)]
+        docs.append((i, " ".join(words), None, None))
+        labels.append((i, toxic))
+    net = T.fit(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int"), most_chars=1000, few=40)
+    assert isinstance(net, T.Network)
+    assert net.scores(pa.array(["kara vilescum lone vilescum"]))[0] > 0.5 > net.scores(pa.array(["kara lone miso"]))[0]
+
+
+def test_forward_as_by_plain_loops(model):
+    """The network word by word and number by number, for windows of several texts."""
+    import math
+
+    p, sig = model.p, lambda x: 1 / (1 + math.exp(-x))
+    texts = ["vilescum kara", "kara mira neso lotu " * 20, "", "Unknownword"]
+
+    def plain(text):
+        words = text.lower().split()
+        if not words:
+            return None
+        vocabulary, codes, _ = T.split_words(pa.array([text]))
+        vectors = model.inputs(T.Words(vocabulary))
+        out = []
+        starts = range(0, max(1, len(words) - 48 + 24), 24)
+        for s in starts:
+            s = min(s, max(0, len(words) - 48))
+            xs = [vectors[c] for c in codes[s : s + 48]]
+            states = [[0.0] * 16 for _ in xs]
+            for side, d in enumerate("fb"):
+                h = [0.0] * 8
+                for t in range(len(xs)) if d == "f" else reversed(range(len(xs))):
+                    x = [sum(float(a) * float(w) for a, w in zip(xs[t], p["W" + d][:, j])) + float(p["b" + d][j]) for j in range(24)]
+                    a = [sum(h[i] * float(p["U" + d][i, j]) for i in range(8)) for j in range(24)]
+                    z, r = [sig(x[j] + a[j]) for j in range(8)], [sig(x[8 + j] + a[8 + j]) for j in range(8)]
+                    new = [math.tanh(x[16 + j] + r[j] * a[16 + j]) for j in range(8)]
+                    h = [z[j] * h[j] + (1 - z[j]) * new[j] for j in range(8)]
+                    states[t][8 * side : 8 * side + 8] = h
+            raw = [sum(math.tanh(sum(st[i] * float(p["A"][i, k]) for i in range(16))) * float(p["v"][k]) for k in range(8)) for st in states]
+            share = [math.exp(x - max(raw)) for x in raw]
+            pooled = [sum(w * st[i] for w, st in zip(share, states)) / sum(share) for i in range(16)]
+            out.append(sum(pooled[i] * float(p["o"][i]) for i in range(16)) + float(p["c"][0]))
+        return max(out)
+
+    got = model.logits(pa.array(texts))
+    for text, logit in zip(texts, got):
+        if text:
+            assert logit == pytest.approx(plain(text), rel=1e-3, abs=1e-3)
