@@ -188,15 +188,20 @@ def components(links: DataFrame) -> DataFrame:
     return edges
 
 
+def tree_links(points: DataFrame, bits: int = BITS, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
+    """Links (a, b) that connect all fingerprints within ``bits`` of each other, from distinct ``fp``: stars, never all pairs."""
+    n = points.count()
+    some = np.array([r.fp for r in points.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], np.int64).view(np.uint64)
+    depth = max(0, int(np.ceil(np.log2(max(1, n / shard)))))
+    tops = [Top(some, depth, mask, radius, seed) for seed, (mask, radius) in enumerate(blocks(bits))]
+    dealt = points.mapInArrow(dealer(tops), "block int, shard long, fp long")
+    return dealt.groupBy("block", "shard").applyInPandas(shard_links(bits), "a long, b long")
+
+
 def classes(fps: DataFrame, bits: int = BITS, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
     """(fp, root, component_id) of every class of equal fingerprints, from (doc_id, fp) per document."""
     own = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    n = own.count()
-    some = np.array([r.fp for r in own.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], np.int64).view(np.uint64)
-    depth = max(0, int(np.ceil(np.log2(max(1, n / shard)))))
-    tops = [Top(some, depth, mask, radius, seed) for seed, (mask, radius) in enumerate(blocks(bits))]
-    dealt = own.select("fp").mapInArrow(dealer(tops), "block int, shard long, fp long")
-    links = dealt.groupBy("block", "shard").applyInPandas(shard_links(bits), "a long, b long")
+    links = tree_links(own.select("fp"), bits, sample, shard)
     found = components(links).select(F.col("b").alias("fp"), F.col("a").alias("root"))
     found = found.union(found.select(F.col("root").alias("fp"), "root").distinct())
     linked = materialize(found.join(own, "fp"), "linked")

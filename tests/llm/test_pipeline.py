@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from test_simhash import plain_components, plain_fingerprint
+from test_jaccard import plain_kept
 from test_tokens import whole
 
 import corpus_pipeline as C
@@ -47,13 +47,10 @@ def test_stages_as_by_plain_code(spark, tmp_path):
     kept = {r.doc_id for r in out["toxicity"]}
     assert sum((i in kept) == (not t) for i, t in truth.items()) / len(truth) > 0.95
 
-    root = plain_components([plain_fingerprint(r[1]) for r in clean])
-    firsts = {}
-    for r, group in zip(clean, root):
-        firsts[group] = min(r[0], firsts.get(group, r[0]))
-    assert sorted(r.doc_id for r in out["simhash"]) == sorted(firsts.values())
+    firsts = plain_kept(clean)
+    assert sorted(r.doc_id for r in out["simhash"]) == firsts
 
-    single = [r for r in rows if r[0] in set(firsts.values())]
+    single = [r for r in rows if r[0] in set(firsts)]
     sizes = {}
     for r in single:
         sizes[r[3]] = sizes.get(r[3], 0) + len((r[1] or "").split())
