@@ -36,10 +36,9 @@ def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from adjudica.llm.mixing import mix
+    from adjudica.llm.mixing import shares
 
-    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
+    return shares(table(spark, sf_dir, "documents")).selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,17 +93,19 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS digest,
+WITH d AS (SELECT doc_id, source, coalesce(doc_id::VARCHAR, chr(0)) || chr(31) || md5(coalesce(text, '')) AS name,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, (source_size * 3)::DOUBLE AS cap FROM s),
 l AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT source, source_size, least(weight * max(CASE WHEN weight * level <= cap THEN level END) OVER (), cap) AS target FROM l),
-r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-    ('0x' || substr(md5(doc_id::VARCHAR || chr(31) || digest), 1, 8))::BIGINT / 4294967296.0 AS u
-    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
+r AS (SELECT doc_id, name, d.source, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+u AS (SELECT r.*, k, ('0x' || substr(md5(name || chr(31) || (k // 4)::VARCHAR), (k % 4 * 8 + 1)::INTEGER, 8))::BIGINT / 4294967296.0 AS u FROM r, range(16) x(k)),
+c AS (SELECT *, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM u),
+o AS (SELECT source, k, row_number() OVER (PARTITION BY source ORDER BY abs(sum(taken)::BIGINT - any_value(target)), k) AS place FROM c GROUP BY source, k)
+SELECT doc_id, size, source_size, target, taken FROM c JOIN o ON c.source IS NOT DISTINCT FROM o.source AND c.k = o.k AND place = 1
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -120,15 +121,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": op10_token_files,
 }
 OP7_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
-    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
+    WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding)
     AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0),
-s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
-    FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+s AS (SELECT a.r AS asked, a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+    FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.r <> b.r),
+t AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 20
 """
 
+
 def op5_sql() -> str:
     from adjudica.llm.licenses import LEAST, LOWER, TEMPLATES, UPPER, template_rows
 

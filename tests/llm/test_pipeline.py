@@ -57,7 +57,7 @@ def test_stages_as_by_plain_code(spark, tmp_path):
     got = {r.doc_id: 0 for r in out["simhash"]}
     for r in out["mixing"]:
         got[r.doc_id] += 1
-    targets = {r.source: r.target for r in mixing.mix(spark.createDataFrame(out["simhash"], docs.sparkSession.read.parquet(f"{tmp_path}/documents.parquet").schema)).collect()}
+    targets = {r.source: r.target for r in mixing.shares(spark.createDataFrame(out["simhash"], spark.read.parquet(f"{tmp_path}/documents.parquet").schema)).collect()}
     for r in single:
         rate = targets[r[3]] / sizes[r[3]] if sizes[r[3]] else 0
         assert got[r[0]] in (math.floor(rate), math.ceil(rate))
