@@ -1,16 +1,20 @@
 """Chat formatting: records of many layouts become canonical turns, and turns one marked text with a loss mask.
 
-A record is JSON text or a struct. The nested field paths that hold a value, sorted and hashed, are its fingerprint;
-each declared layout lists the paths that it must and may have, so a fingerprint selects one mapping, and a record
-that none declares has layout and turns null. Fields that no layout names are not looked at.
+A record is JSON text or a struct. Its fingerprint is the hash of its own nested field paths, scalar types put alike: of
+JSON text the schema that parsing gives, of a struct the paths that hold a value. The paths under the fields that some
+layout names, hashed, select the one mapping that declares them: each layout lists the paths that it must and may have.
+A list of text parts is a layout of its own; a record that none declares (contents that are other lists or objects, or
+sometimes text and sometimes not, a part that is no text, a JSON document beyond what parsing takes) has layout and
+turns null. Top-level fields that no layout names, and scalar fields beside a turn's role and text, are not looked at.
 
 A formatted turn is ``<|turn|>role<|text|>text<|end|>``. Within roles and texts, a control string gets a backslash
 after its first character, before any backslashes that stand there, so none is left, and taking one away gives the
-text back. The loss mask is a list of spans (start and length in code points), one per turn of a trained role.
+text back. The loss mask is a list of spans (start and length in code points), one per turn of a trained role; they
+are summed up in runs of turns, so long conversations cost about in proportion to their length.
 
 Only DataFrame functions are used. A null role or text is empty; an empty list of turns gives an empty text. Turns
 that tie keep the order of role and text; repeated rows stay. An empty table gives no rows. Columns of the same names
-as those added are replaced; others stay.
+as those added are replaced; others stay. A conversation is one text, so its turns are gathered in one row.
 """
 
 from __future__ import annotations
@@ -26,11 +30,13 @@ CONTROL = r"(?=\||/?s>|/?INST\]|</?SYS>>)"
 ESCAPE, ESCAPED = rf"([<\[])(\\*){CONTROL}", r"$1\\$2"
 UNESCAPE, UNESCAPED = rf"([<\[])\\(\\*){CONTROL}", "$1$2"
 LOSS_ROLES = ("assistant",)
+RUN = 256  # turns whose spans are summed up together
 
 
 @dataclass(frozen=True)
 class Layout:
-    """``turns``: (array, role field, text field); or ``fields``: (role, the fields whose texts make the turn)."""
+    """``turns``: (array, role field, text field), the text being a list of parts where ``parts`` is set; or ``fields``:
+    (role, the fields whose texts make the turn)."""
 
     name: str
     must: tuple[str, ...]
@@ -38,6 +44,7 @@ class Layout:
     turns: tuple[str, str, str] | None = None
     fields: tuple[tuple[str, tuple[str, ...]], ...] = ()
     roles: dict[str, str] = field(default_factory=dict)
+    parts: bool = False
 
 
 # The layouts, and what their roles are called here.
@@ -45,6 +52,7 @@ SHARED_ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model"
 LAYOUTS = (
     Layout("rows", ("turns[]",), ("turns[].role", "turns[].text"), turns=("turns", "role", "text")),
     Layout("messages", ("messages[]",), ("messages[].role", "messages[].content"), turns=("messages", "role", "content"), roles=SHARED_ROLES),
+    Layout("message-parts", ("messages[]", "messages[].content[].text"), ("messages[].role", "messages[].content[].type"), turns=("messages", "role", "content"), roles=SHARED_ROLES, parts=True),
     Layout("conversations", ("conversations[]",), ("conversations[].from", "conversations[].value", "system"), turns=("conversations", "from", "value"), fields=(("system", ("system",)),), roles=SHARED_ROLES),
     Layout("instruction", ("instruction", "output"), ("input", "system"), fields=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
     Layout("prompt-response", ("prompt", "response"), ("system",), fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
@@ -62,37 +70,112 @@ def record_type() -> T.StructType:
     return T.StructType([*[T.StructField(n, pair(f)) for n, f in ARRAYS.items()], *[T.StructField(n, T.StringType()) for n in PLAIN]])
 
 
+def text_of(column: Column, kind: T.DataType) -> Column:
+    return F.to_json(column) if isinstance(kind, T.ArrayType | T.StructType | T.MapType) else column.cast("string")
+
+
 def whole_record(df: DataFrame, record_col: str) -> Column:
-    """The record as that struct: JSON is read, a struct's missing fields are null."""
+    """The record as that struct: JSON is read, a struct's missing fields are null, nested contents are JSON text."""
     kind = df.schema[record_col].dataType
     if isinstance(kind, T.StringType):
         return F.from_json(record_col, record_type())
     held = {f.name: f.dataType for f in kind.fields}
 
     def own(name: str, inner: tuple[str, ...] | None) -> Column:
-        if name not in held:
+        if name not in held or inner is not None and not is_turns(held[name]):
             return F.lit(None).cast(record_type()[name].dataType).alias(name)
         column = F.col(record_col)[name]
         if inner is None:
-            return column.cast("string").alias(name)
-        has = {f.name for f in held[name].elementType.fields}
-        return F.transform(column, lambda x: F.struct(*[(x[i] if i in has else F.lit(None)).cast("string").alias(i) for i in inner])).alias(name)
+            return text_of(column, held[name]).alias(name)
+        has = {f.name: f.dataType for f in held[name].elementType.fields}
+        return F.transform(column, lambda x: F.struct(*[(text_of(x[i], has[i]) if i in has else F.lit(None).cast("string")).alias(i) for i in inner])).alias(name)
 
     return F.struct(*[own(n, f) for n, f in ARRAYS.items()], *[own(n, None) for n in PLAIN])
 
 
+def is_turns(kind: T.DataType) -> bool:
+    return isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType)
+
+
+def struct_paths(column: Column, kind: T.DataType, path: str, inner: tuple[str, ...] | None = None) -> list[Column]:
+    """The paths below a field that hold a value; ``inner``: of scalar fields there, those that count."""
+    if isinstance(kind, T.StructType):
+        return [p for f in kind.fields for p in struct_paths(column[f.name], f.dataType, f"{path}.{f.name}" if path else f.name)]
+    if not isinstance(kind, T.ArrayType):
+        return [F.when(column.isNotNull(), F.lit(path))]
+    found = [F.when(column.isNotNull(), F.lit(f"{path}[]"))]
+    if not isinstance(kind.elementType, T.StructType):
+        return found if not isinstance(kind.elementType, T.ArrayType) else [F.when(column.isNotNull(), F.lit(f"{path}[][]"))]
+    for f in kind.elementType.fields:
+        nested = isinstance(f.dataType, T.ArrayType | T.StructType | T.MapType)
+        if nested:
+            each = F.transform(column, part(f.name))
+            each = F.flatten(each) if isinstance(f.dataType, T.ArrayType) else each
+            own = struct_paths(each, each_kind(f.dataType), f"{path}[].{f.name}")
+            found += own[1:] if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType) else own
+        elif inner is None or f.name in inner:
+            found.append(F.when(F.exists(column, holds(f.name)), F.lit(f"{path}[].{f.name}")))
+    return found
+
+
+def part(name: str):
+    return lambda x: x[name]
+
+
 def holds(name: str):
     return lambda x: x[name].isNotNull()
 
 
-def paths_of(record: Column) -> Column:
-    """The sorted paths that hold a value."""
-    found = []
-    for name, inner in ARRAYS.items():
-        found.append(F.when(record[name].isNotNull(), F.lit(f"{name}[]")))
-        found += [F.when(F.exists(record[name], holds(i)), F.lit(f"{name}[].{i}")) for i in inner]
-    found += [F.when(record[name].isNotNull(), F.lit(name)) for name in PLAIN]
-    return F.array_sort(F.array_compact(F.array(*found)))
+def each_kind(kind: T.DataType) -> T.DataType:
+    return kind if isinstance(kind, T.ArrayType) else T.ArrayType(kind)
+
+
+SCALAR = r"\b(STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|DATE|TIMESTAMP(_NTZ)?|BINARY|UUID|DECIMAL\(\d+, ?\d+\))(?=[,>]|$)"
+NAME = r"(\w+|`(?:[^`]|``)*`)"
+
+
+def shape(variant: Column) -> Column:
+    """The schema of a JSON value, scalars alike and null fields left out."""
+    alike = F.regexp_replace(F.schema_of_variant(variant), SCALAR, "S")
+    return F.regexp_replace(F.regexp_replace(alike, rf"(?<=<){NAME}: VOID(, |(?=>))", ""), rf", {NAME}: VOID(?=[,>])", "")
+
+
+def json_paths(variant: Column, name: str, inner: tuple[str, ...] | None) -> list[Column]:
+    """The paths under one named field of a JSON record; what no layout could declare is a path of its own."""
+    own = shape(F.try_variant_get(variant, f"$.{name}", "variant"))
+    there = own.isNotNull() & (own != "VOID")
+    if inner is None:
+        return [F.when(there, F.when(own == "S", F.lit(name)).otherwise(F.concat(F.lit(f"{name} "), own)))]
+    text = inner[1]
+    fields = F.regexp_extract(own, r"^ARRAY<OBJECT<(.*)>>$", 1)
+    parts = F.regexp_extract(fields, rf"(?:^|, ){text}: ARRAY<OBJECT<([^<>]*)>>(?:, |$)", 1)
+    flat = F.regexp_replace(fields, rf"(^|, ){text}: ARRAY<OBJECT<(text: S|text: S, type: S)>>(?=, |$)", "$1parts: S")
+    listed = F.regexp_like(flat, F.lit(r"(^|, )parts: S(, |$)")) & (parts != "")
+    # what is no list of flat objects stands as one undeclared path
+    plain = own.isin("ARRAY<VOID>", "ARRAY<OBJECT<>>") | (F.startswith(own, F.lit("ARRAY<OBJECT<")) & F.regexp_like(flat, F.lit(rf"^{NAME}: S(, {NAME}: S)*$")))
+    found = [F.when(there, F.when(plain, F.lit(f"{name}[]")).otherwise(F.concat(F.lit(f"{name} "), own)))]
+    for i in inner:
+        found.append(F.when(there & plain & F.regexp_like(flat, F.lit(rf"(^|, ){i}: S(, |$)")), F.lit(f"{name}[].{i}")))
+    found.append(F.when(there & plain & listed, F.lit(f"{name}[].{text}[].text")))
+    found.append(F.when(there & plain & listed & F.contains(parts, F.lit("type: S")), F.lit(f"{name}[].{text}[].type")))
+    return found
+
+
+def paths_of(df: DataFrame, record_col: str) -> tuple[Column, Column]:
+    """The record's fingerprint, and the sorted paths under the fields that layouts name."""
+    kind = df.schema[record_col].dataType
+    sort = lambda found: F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))
+    if isinstance(kind, T.StringType):
+        variant = F.try_parse_json(record_col)
+        found = [p for n, f in ARRAYS.items() for p in json_paths(variant, n, f)] + [p for n in PLAIN for p in json_paths(variant, n, None)]
+        return F.xxhash64(F.coalesce(shape(variant), F.lit(""))), sort(found)
+    every, named = [], []
+    for f in kind.fields:
+        column = F.col(record_col)[f.name]
+        every += struct_paths(column, f.dataType, f.name)
+        if f.name in ARRAYS or f.name in PLAIN:
+            named += struct_paths(column, f.dataType, f.name, ARRAYS.get(f.name))
+    return fingerprint(sort(every)) if every else F.xxhash64(F.lit("")), sort(named) if named else F.array().cast("array<string>")
 
 
 def fingerprint(paths: Column) -> Column:
@@ -125,26 +208,38 @@ def turns_by(layout: Layout, record: Column) -> Column:
     if layout.turns:
         array, role_name, text_name = layout.turns
 
+        def said(x: Column) -> Column:
+            if not layout.parts:
+                return x[text_name]
+            parts = F.from_json(x[text_name], "array<struct<type:string,text:string>>")
+            texts = F.forall(parts, lambda p: (p["type"].isNull() | (p["type"] == "text")) & p["text"].isNotNull())
+            return F.when(x[text_name].isNull(), F.lit("")).when(texts, F.array_join(F.transform(parts, lambda p: p["text"]), "\n"))
+
         def own_role(x: Column) -> Column:
             role = x[role_name]
             for old, new in layout.roles.items():
                 role = F.when(x[role_name] == old, F.lit(new)).otherwise(role)
             return role
 
-        parts.append(F.transform(record[array], lambda x: turn(own_role(x), x[text_name])))
+        made = F.transform(record[array], lambda x: turn(own_role(x), said(x)))
+        if layout.parts:  # a part that is no text: no turns
+            made = F.when(F.forall(record[array], lambda x: said(x).isNotNull()), made)
+        parts.append(made)
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
 def canonical_turns(df: DataFrame, record_col: str) -> DataFrame:
     """Adds fingerprint, layout and turns."""
-    own = df.withColumn("_record", whole_record(df, record_col)).withColumn("fingerprint", fingerprint(paths_of(F.col("_record"))))
+    whole, paths = paths_of(df, record_col)
+    own = df.withColumn("_record", whole_record(df, record_col)).withColumn("fingerprint", whole).withColumn("layout", fingerprint(paths))
     sets = declared()
     marks = F.map_from_arrays(F.array(*[F.xxhash64(F.lit("\n".join(p))) for p in sets]), F.array(*[F.lit(n) for n in sets.values()]))
-    own = own.withColumn("layout", F.try_element_at(marks, F.col("fingerprint")))
+    own = own.withColumn("layout", F.try_element_at(marks, F.col("layout")))
     turns = F.lit(None).cast(TURNS)
     for x in LAYOUTS:
         turns = F.when(F.col("layout") == x.name, turns_by(x, F.col("_record"))).otherwise(turns)
-    return own.withColumn("turns", turns).drop("_record")
+    own = own.withColumn("turns", turns).drop("_record")
+    return own.withColumn("layout", F.when(F.col("turns").isNotNull(), F.col("layout")))
 
 
 def escape(text: Column) -> Column:
@@ -166,9 +261,16 @@ def format_turns(df: DataFrame, turns_col: str = "turns", loss_roles: tuple[str,
         span = F.struct((held["at"] + p["head"]).alias("start"), p["body"].alias("length"))
         return F.struct((held["at"] + p["head"] + p["body"] + len(END)).alias("at"), F.when(p["trained"], F.concat(held["spans"], F.array(span))).otherwise(held["spans"]).alias("spans"))
 
-    made = df.withColumn("_pieces", pieces)
+    def sums(held: Column, run: Column) -> Column:
+        return F.struct((held["at"] + run["at"]).alias("at"), F.concat(held["starts"], F.array(held["at"])).alias("starts"))
+
+    starts = F.aggregate("_runs", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("starts")), sums)["starts"]
+    moved = F.zip_with("_runs", starts, lambda run, at: F.transform(run["spans"], lambda s: F.struct((s["start"] + at).alias("start"), s["length"].alias("length"))))
+    made = df.withColumn("_pieces", pieces).withColumn("_sized", sized)
+    firsts = F.filter(F.sequence(F.lit(0), F.greatest(F.size("_sized"), F.lit(0)), F.lit(RUN)), lambda i: i < F.size("_sized"))
+    made = made.withColumn("_runs", F.transform(firsts, lambda i: F.aggregate(F.slice("_sized", i + 1, RUN), empty, step)))
     made = made.withColumn("formatted", F.array_join(F.transform("_pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END))), ""))
-    return made.withColumn("loss_spans", F.aggregate(sized, empty, step)["spans"]).drop("_pieces")
+    return made.withColumn("loss_spans", F.when(F.col("_sized").isNotNull(), F.flatten(moved))).drop("_pieces", "_sized", "_runs")
 
 
 def parse_turns(formatted: Column) -> Column:
@@ -185,8 +287,16 @@ def parse_turns(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, loss_spans: Column) -> Column:
-    """All text under the mask, unescaped."""
-    return F.array_join(F.transform(loss_spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """All text under the mask, unescaped: first cut to runs of spans, so that no span is looked for from the start."""
+    def read(i: Column) -> Column:
+        run = F.slice(loss_spans, i + 1, RUN)
+        begin, last = run[0]["start"], F.element_at(run, -1)
+        held = F.struct(begin.alias("at"), F.substring(formatted, (begin + 1).cast("int"), (last["start"] + last["length"] - begin).cast("int")).alias("text"), run.alias("run"))
+        texts = F.transform(F.array(held), lambda h: F.array_join(F.transform(h["run"], lambda s: unescape(F.substring(h["text"], (s["start"] - h["at"] + 1).cast("int"), s["length"].cast("int")))), ""))
+        return texts[0]
+
+    firsts = F.filter(F.sequence(F.lit(0), F.size(loss_spans), F.lit(RUN)), lambda i: i < F.size(loss_spans))
+    return F.array_join(F.transform(firsts, read), "")
 
 
 def records_from_rows(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:

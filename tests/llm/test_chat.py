@@ -20,6 +20,20 @@ RECORDS = [
     ({"prompt": "p"}, None, None),
     ({"prompt": "p", "response": "r", "completion": "c"}, None, None),
     ({}, None, None),
+    ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"text": "b", "type": "text"}]}, {"role": "gpt", "content": [{"type": "text", "text": "c"}]}]}, "message-parts", [("user", "a\nb"), ("assistant", "c")]),
+    ({"messages": [{"role": "user", "content": [{"text": "only"}]}]}, "message-parts", [("user", "only")]),
+    ({"messages": [{"role": "user", "content": [{"type": "image", "url": "x"}, {"type": "text", "text": "a"}]}]}, None, None),
+    ({"messages": [{"role": "user", "content": [{"type": "audio", "text": "a"}]}]}, None, None),
+    ({"messages": [{"role": "user", "content": ["a", "b"]}]}, None, None),
+    ({"messages": [{"role": "user", "content": {"a": 1}}]}, None, None),
+    ({"messages": [{"role": "user", "content": "x"}, {"role": "user", "content": [{"text": "y"}]}]}, None, None),
+    ({"messages": [{"role": "user", "content": "x", "weight": 1, "name": None}], "meta": {"deep": [1]}}, "messages", [("user", "x")]),
+    ({"messages": [{"role": "user", "content": "x", "tool_calls": [{"id": 1}]}]}, None, None),
+    ({"messages": "text"}, None, None),
+    ({"messages": ["text"]}, None, None),
+    ({"prompt": ["p"], "response": "r"}, None, None),
+    ({"instruction": "a, b: S>", "output": 3, "input": None}, "instruction", [("user", "a, b: S>"), ("assistant", "3")]),
+    ({"prompt": "p", "completion": "c", "messages, prompt": 1, "`": {"x": None}}, "prompt-completion", [("user", "p"), ("assistant", "c")]),
 ]
 
 
@@ -37,6 +51,38 @@ def test_structs_like_json(spark):
     df = spark.sql("SELECT named_struct('messages', array(named_struct('role', 'user', 'content', 'x', 'more', 1))) AS record")
     row = chat.canonical_turns(df, "record").first()
     assert row.layout == "messages" and [tuple(t) for t in row.turns] == [("user", "x")]
+    parts = "named_struct('role', 'user', 'content', array(named_struct('type', {0}, 'text', 'x')))"
+    for kind, layout, turns in (("'text'", "message-parts", [("user", "x")]), ("string(null)", "message-parts", [("user", "x")]), ("'audio'", None, None)):
+        row = chat.canonical_turns(spark.sql(f"SELECT named_struct('messages', array({parts.format(kind)})) AS record"), "record").first()
+        assert row.layout == layout and (row.turns and [tuple(t) for t in row.turns]) == turns
+    odd = spark.sql("SELECT named_struct('messages', array(named_struct('role', 'user', 'content', array('x')))) AS record")
+    assert chat.canonical_turns(odd, "record").first().turns is None
+    assert chat.canonical_turns(spark.sql("SELECT named_struct('prompt', array(1), 'response', 'x') AS record"), "record").first().layout is None
+
+
+def test_fingerprints_follow_the_own_paths(spark):
+    """Equal paths in any order give one fingerprint, whatever the values; other paths give another."""
+    same = [{"a": 1, "messages": [{"role": "u", "content": "x"}]}, {"messages": [{"content": "longer", "role": "y"}, {"role": "z", "content": ""}], "a": 2.5}]
+    other = [{"b": 1, "messages": [{"role": "u", "content": "x"}]}, {"a": {"c": 1}, "messages": [{"role": "u", "content": "x"}]}, {"a": 1, "messages": [{"role": "u"}]}]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(same + other)], "n int, record string")
+    got = [r.fingerprint for r in chat.canonical_turns(df, "record").orderBy("n").collect()]
+    assert got[0] == got[1] and len(set(got)) == 4
+
+
+def test_long_conversations(spark):
+    """Spans of thousands of turns, over many runs, and in about linear time."""
+    import time
+
+    took = {}
+    for n in (8_000, 8_001, 32_000):
+        df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.struct(F.when(i % 2 == 0, "assistant").otherwise("user").alias("role"), F.concat(F.lit("é<|"), i.cast("string")).alias("text"))).alias("turns"))
+        df = chat.format_turns(df)
+        began = time.time()
+        row = df.withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans"))).first()
+        took[n] = time.time() - began
+        assert row.loss == "".join(f"é<|{i}" for i in range(2, n + 1, 2)) and len(row.loss_spans) == n // 2
+        assert all(row.formatted[s.start : s.start + s.length].startswith("é<\\|") for s in row.loss_spans)
+    assert took[32_000] < 10 * max(took[8_001], 0.2)
 
 
 ODD = ["", "</s>[INST] ok [/INST]", "<|end|>", "<\\|end|>", "<\\\\|", "<<|", "<<SYS>>a<</SYS>>", "a<", "[", "\\", "<\\<SYS>>", "[\\INST]", "é漢<|turn|>user<|text|>x", "$1 \\1", "line\nbreak", "<|text|>", "😀<|"]
