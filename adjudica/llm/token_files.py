@@ -1,12 +1,14 @@
 """Token-ID output: tokenized documents in ascending id order as wavelet-matrix files in the shared folder.
 
-Documents are dealt to ranges of ids, each range is sorted by Spark, and its task writes files of about
-``shard_tokens`` ids under deterministic names: written under a name of the attempt's own, then renamed, so a task
-that runs again after a lost executor leaves the same files. Only the token count of each range (as many numbers as
-shuffle partitions) comes to the driver, to place ranges after one another.
-
-Null ids come first; rows with equal ids are kept each, ordered by their texts' hash. A null or empty text has the
-end id alone. An empty table gives no files and no rows. Other columns are not read.
+Texts are encoded where they are and written as a table of ids, 16 bits each where all of a batch's fit; only ids are
+shuffled. They are dealt to ranges of document ids, as many as their number asks for, each range is sorted by Spark,
+and its task writes files of about ``shard_tokens`` ids under deterministic names: written under a name of the
+attempt's own, then renamed, so a task that runs again after a lost executor leaves the same files. Only the token
+count of each range (``MOST_RANGES`` numbers at most) comes to the driver, to place ranges after one another.
+
+Null ids come first; rows with equal ids are kept each, ordered by their texts' hash, and equal rows by their place in
+the encoded table, so that any number of them spreads over ranges too. A null or empty text has the end id alone. An
+empty table gives no files and no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from adjudica.llm.wavelet import WaveletMatrix, build
 
 END = 2
 SHARD_TOKENS = 1 << 20
+RANGE_TOKENS, MOST_RANGES = 1 << 22, 20_000
 MANIFEST = "part int, shard int, n_docs long, n_tokens long, n_bytes long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -40,7 +43,22 @@ def put_file(folder: str, name: str, content: bytes) -> None:
     store.move(own, f"{root}/{name}")
 
 
-def writer(folder: str, path: str, end: int, shard_tokens: int):
+def encoding(path: str, end: int):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, n in units.slices(batch.column(1)):
+                own = batch.slice(at, n)
+                ids, offsets = units.encoder(path).encode(own.column(1))
+                ids = np.insert(ids, offsets[1:], end)
+                ids = ids.astype("<u2" if ids.max(initial=0) < 1 << 16 else "<u4")
+                ends = offsets + np.arange(n + 1)
+                held = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends * ids.itemsize), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), pa.array(np.diff(ends)), held.cast(pa.binary())], ["doc_id", "tie", "n", "ids"])
+
+    return encode
+
+
+def writer(folder: str, shard_tokens: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard, before, made = TaskContext.get().partitionId(), 0, 0, []
         held, docs, sizes, total = [], [], [], 0
@@ -53,21 +71,19 @@ def writer(folder: str, path: str, end: int, shard_tokens: int):
             held, docs, sizes, total, shard, before = [], [], [], 0, shard + 1, before + total
 
         for batch in batches:
-            for at, n in units.slices(batch.column(1)):
-                ids, offsets = units.encoder(path).encode(batch.column(1).slice(at, n))
-                names = batch.column(0).slice(at, n).to_pylist()
-                first, ends = 0, np.append(offsets[1:] + np.arange(1, n + 1), 0)
-                ids = np.insert(ids, offsets[1:], end)
-                while first < n:
-                    begin = ends[first - 1]
-                    last = max(first + 1, int(np.searchsorted(ends[:n], begin + shard_tokens - total, side="right")))
-                    held.append(ids[begin : ends[last - 1]])
-                    docs += names[first:last]
-                    sizes += np.diff(ends[first:last], prepend=begin).tolist()
-                    total += int(ends[last - 1] - begin)
-                    first = last
-                    if total >= shard_tokens or first < n:
-                        close()
+            names, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            each = [np.frombuffer(raw.as_buffer(), "<u2" if raw.as_buffer().size == 2 * n else "<u4") for raw, n in zip(batch.column(2), counts.tolist(), strict=True)]
+            first, n, ends = 0, len(names), np.append(np.cumsum(counts), 0)
+            while first < n:
+                begin = ends[first - 1]
+                last = max(first + 1, int(np.searchsorted(ends[:n], begin + shard_tokens - total, side="right")))
+                held += [x.astype(np.uint32) for x in each[first:last]]
+                docs += names[first:last]
+                sizes += counts[first:last].tolist()
+                total += int(ends[last - 1] - begin)
+                first = last
+                if total >= shard_tokens or first < n:
+                    close()
         if docs:
             close()
         if made:
@@ -82,10 +98,12 @@ def write_token_files(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     folder = fresh_folder(spark, "token-files")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(ranges, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
-    made = dealt.mapInArrow(writer(folder, path or units.vocabulary_path(), end, shard_tokens), MANIFEST)
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    encoded = materialize(docs.mapInArrow(encoding(path or units.vocabulary_path(), end), "doc_id long, tie long, n long, ids binary"), "token-ids")
+    ranges = min(MOST_RANGES, 1 + (encoded.agg(F.sum("n")).first()[0] or 0) // RANGE_TOKENS)
+    placed = encoded.withColumn("place", F.monotonically_increasing_id())
+    dealt = placed.repartitionByRange(ranges, "doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie", "place").select("doc_id", "n", "ids")
+    made = dealt.mapInArrow(writer(folder, shard_tokens), MANIFEST)
     return folder, materialize(made, "token-manifest")
 
 
