@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from adjudica.sources.files import ending, html_text
 
-FIELDS = "type string, body string, sender string, recipient string, subject string, sent string, attachments array<string>"
+FIELDS = "type string, body string, sender string, recipient string, subject string, sent string, attachments array<struct<name:string,content:binary>>"
 
 
 def nothing(kind: str) -> dict:
@@ -30,14 +30,14 @@ def content_of(part: EmailMessage) -> str:
 
 
 def read_eml(raw: bytes) -> dict:
-    """Headers, body and attachments' names. The last plain part is the body; html only while the body is blank."""
+    """Headers, body and attachments with their bytes. The last plain part is the body; html only while the body is blank."""
     message = email.message_from_bytes(raw, policy=policy.default)
     body, names = "", []
     for part in message.walk():
         if part.is_multipart():
             continue
         if part.get_filename():
-            names.append(safe(part.get_filename()))
+            names.append({"name": safe(part.get_filename()), "content": part.get_payload(decode=True) or b""})
         elif part.get_content_type() == "text/plain":
             body = content_of(part)
         elif part.get_content_type() == "text/html" and not body.strip():
@@ -56,7 +56,7 @@ def read_msg(raw: bytes) -> dict:
         message = extract_msg.openMsg(raw)
     except Exception:  # noqa: BLE001  a broken file is an empty mail
         return nothing("email")
-    return {"type": "email", "body": message.body or "", "sender": message.sender or "", "recipient": message.to or "", "subject": message.subject or "", "sent": str(message.date or ""), "attachments": [safe(a.longFilename or a.shortFilename or "") for a in message.attachments]}
+    return {"type": "email", "body": message.body or "", "sender": message.sender or "", "recipient": message.to or "", "subject": message.subject or "", "sent": str(message.date or ""), "attachments": [{"name": safe(a.longFilename or a.shortFilename or ""), "content": a.data if isinstance(a.data, bytes) else b""} for a in message.attachments]}
 
 
 def read_mails(files: DataFrame) -> DataFrame:
@@ -67,3 +67,11 @@ def read_mails(files: DataFrame) -> DataFrame:
             yield pd.concat([frame[["path"]].reset_index(drop=True), pd.DataFrame(rows, columns=[f.split()[0] for f in FIELDS.split(", ")])], axis=1)
 
     return files.select("path", ending(F.col("path")).alias("ending"), "content").mapInPandas(run, f"path string, {FIELDS}")
+
+
+def attachments(mails: DataFrame) -> DataFrame:
+    """One row per attachment, with the columns that files have, so that it can be routed like one. The claim is the
+    mail's where it has one, else it follows from the attachment's content."""
+    each = mails.select(F.col("path").alias("mail"), F.col("claim_id").alias("_claim") if "claim_id" in mails.columns else F.lit(None).cast("string").alias("_claim"), F.posexplode("attachments").alias("nth", "a"))
+    made = each.select("mail", F.concat("mail", F.lit("/"), F.col("nth").cast("string"), F.lit("/"), F.col("a.name")).alias("path"), F.col("a.name").alias("original_name"), F.length("a.content").cast("long").alias("size"), F.col("a.content").alias("content"), F.sha2("a.content", 256).alias("sha256"), "_claim")
+    return made.withColumn("claim_id", F.coalesce("_claim", F.concat(F.lit("claim_"), F.substring("sha256", 1, 8)))).drop("_claim")

@@ -40,8 +40,10 @@ def ocr_result(words: DataFrame) -> DataFrame:
 
 
 def best_variant(variants: DataFrame, by: str = "path") -> DataFrame:
-    """Of several enhancements' results the one with the highest confidence."""
-    return variants.groupBy(by).agg(F.max_by(F.struct("text", "confidence", "engine"), "confidence").alias("best")).select(by, "best.*")
+    """Of several enhancements' results the one with the highest confidence; of equals the longest text, then the last
+    by code point. A result without confidence counts least."""
+    rank = F.struct(F.coalesce("confidence", F.lit(-1.0)), F.length(F.coalesce("text", F.lit(""))), F.coalesce("text", F.lit("")), F.coalesce("engine", F.lit("")))
+    return variants.groupBy(by).agg(F.max_by(F.struct("text", "confidence", "engine"), rank).alias("best")).select(by, "best.*")
 
 
 def assess_pages(pages: DataFrame, ocr_text_col: str | None = None) -> DataFrame:

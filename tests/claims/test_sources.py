@@ -36,11 +36,19 @@ def test_routes_and_text(spark, tmp_path):
 
 def test_mail():
     got = mail.read_eml(MAIL)
-    assert got["body"] == "Claim Reference: CLM-12345" and got["attachments"] == ["x.pdf"] and got["sender"] == "a@b.com" and got["subject"] == "Claim"
+    assert got["body"] == "Claim Reference: CLM-12345" and got["attachments"] == [{"name": "x.pdf", "content": b"data"}] and got["sender"] == "a@b.com" and got["subject"] == "Claim"
     assert mail.read_eml(b"Content-Type: text/html\r\n\r\n<b>only</b> html")["body"] == "only\n html"
     assert mail.read_msg(b"?") == mail.nothing("email")
 
 
+def test_attachments_are_routed_like_files(spark, tmp_path):
+    routed = files.route(files.read_files(spark, folder(tmp_path), "*.eml"))
+    rows = files.route(mail.attachments(mail.read_mails(routed))).collect()
+    assert [(r.original_name, r.type, r.processor, bytes(r.content), r.size) for r in rows] == [("x.pdf", "pdf", "pdf_scanned", b"data", 4)]
+    kept = mail.attachments(mail.read_mails(routed).withColumn("claim_id", F.lit("c7"))).first()
+    assert kept.claim_id == "c7" and kept.path.endswith("e.eml/0/x.pdf")
+
+
 def test_html(spark):
     assert files.html_text("<p>a<b>b</b></p>&amp;<script>x</script>") == "a\nb\n&\nx" and files.html_text(None) == ""
     df = spark.createDataFrame([("<i>t</i>",), (None,)], "h string")
@@ -67,6 +75,8 @@ def test_words_and_adapters(spark):
     assert (row.text, row.confidence, row.lines[0].bbox) == ("Hi you", 0.45, [1, 2, 3, 4])
     variants = spark.createDataFrame([("a", "x", 0.2, "e"), ("a", "y", 0.9, "e")], "path string, text string, confidence double, engine string")
     assert pages.best_variant(variants).first().text == "y"
+    ties = spark.createDataFrame([("a", "x", 0.9, "e"), ("a", "yy", 0.9, "e"), ("a", None, None, None), ("b", None, None, "n")], variants.schema)
+    assert {r.path: r.text for r in pages.best_variant(ties).collect()} == {"a": "yy", "b": None}
     assert pages.open_pdf(df).count() == 2 and not pages.page_images(df).first().success
 
 
@@ -104,6 +114,60 @@ def test_store(spark, tmp_path):
     assert '"claim_id"' in export_json(routed.select("claim_id", "size")).first().json
 
 
+def test_store_keeps_all_batches(spark, tmp_path):
+    """A second batch adds its claims and replaces decisions that changed; a batch without its mark doesn't count."""
+    store = ClaimStore(spark, f"file://{tmp_path}/store")
+    rows = lambda *given: spark.createDataFrame(list(given), "claim_id string, decision string, score double")
+    held = lambda: sorted(tuple(r) for r in store.load("decision").collect())
+    assert store.save("decision", rows(("c1", "review", 0.1), ("c2", "approve", 0.2))) == 1
+    assert store.save("decision", rows(("c3", "reject", 0.3), ("c1", "approve", None))) == 2
+    want = [("c1", "approve", None), ("c2", "approve", 0.2), ("c3", "reject", 0.3)]
+    assert held() == want
+    (tmp_path / "store" / "decision" / "batch=3").mkdir()
+    assert held() == want and store.batches("decision") == [1, 2]
+    assert store.save("decision", rows(("c4", "a", 1.0), ("c4", "a", 1.0))) == 4
+    assert held() == [*want, ("c4", "a", 1.0)]
+    assert store.compact("decision") == 5 and store.batches("decision") == [5] and held() == [*want, ("c4", "a", 1.0)]
+    assert store.save("decision", rows()) == 6 and len(held()) == 4
+    assert {(r.name, r.batch, r.n_rows) for r in store.load("manifest").collect()} == {("decision", n, k) for n, k in ((1, 2), (2, 2), (4, 2), (5, 4), (6, 0))}
+
+
+def test_retention_is_carried_out(spark, tmp_path):
+    from adjudica.operators import retention
+
+    for name in ("c1", "c2"):
+        (tmp_path / "claims" / name).mkdir(parents=True)
+        (tmp_path / "claims" / name / "raw.txt").write_text(name)
+    roots = [f"file://{tmp_path}/{name}" for name in ("claims", "archive")]
+    plan = spark.createDataFrame([("c1", "c1_7"), ("c2", "c2"), ("gone", "gone"), ("..", "..")], "claim string, moved_to string")
+    outcomes = lambda df: {r.claim: r.outcome for r in df.collect()}
+    assert set(outcomes(retention.carry_out(plan, *roots, move=True)).values()) == {"planned"} and (tmp_path / "claims" / "c1").exists()
+    want = {"c1": "moved", "c2": "moved", "gone": "missing", "..": "failed: odd name"}
+    for _ in range(2):  # a task that runs again finds its work done
+        assert outcomes(retention.carry_out(plan, *roots, move=True, dry_run=False)) == want
+    assert (tmp_path / "archive" / "c1_7" / "raw.txt").read_text() == "c1" and not (tmp_path / "claims" / "c1").exists()
+    assert outcomes(retention.carry_out(plan.filter("claim = 'c2'"), *roots, move=False, dry_run=False)) == {"c2": "deleted"}
+    assert not (tmp_path / "archive" / "c2").exists() and (tmp_path / "archive" / "c1_7").exists()
+
+
+def test_page_pictures():
+    import numpy as np
+
+    from adjudica.sources import enhance
+
+    rng = np.random.default_rng(0)
+    page = np.full((60, 90, 3), 200, np.uint8) + rng.integers(0, 20, (60, 90, 1)).astype(np.uint8)
+    page[20:24, 10:80] = 40
+    page = (page * np.linspace(0.6, 1, 90)[None, :, None]).astype(np.uint8)  # unevenly lit
+    made = enhance.page(page)
+    assert set(np.unique(made)) == {0, 255} and (made[20:24, 12:78] == 0).mean() > 0.95 and (made[40:, :] == 255).mean() > 0.8
+    own = enhance.grey(page)
+    assert own.shape == (60, 90) and enhance.grey(own) is not None and enhance.smooth(own).std() < own.std()
+    plain = sum(np.pad(own.astype(float), 15, mode="edge")[15 + dy : 75 + dy, 15 + dx : 105 + dx] for dy in range(-15, 16) for dx in range(-15, 16)) / 31**2
+    assert (enhance.threshold(own) == np.where(own > plain - 10, 255, 0)).all()
+    assert set(enhance.variants(page)) == {"grey", "denoise", "contrast", "sharpen", "adaptive", "rotate"} and enhance.variants(page)["rotate"].shape == (90, 60)
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "drop").mkdir()
     source = folder(tmp_path / "drop")
