@@ -22,7 +22,7 @@ def is_empty(raw: Column) -> Column:
     return raw.isNull() | (raw == "")
 
 
-def amount(raw: Column, nfkc: X.NFKC = X.fold_widths, settings: S.Settings = S.DEFAULTS) -> Column:
+def amount(raw: Column, nfkc: X.NFKC = X.nfkc, settings: S.Settings = S.DEFAULTS) -> Column:
     bare = F.regexp_replace(X.repair_digits(X.strip(X.clean_unicode(raw, nfkc))), r"(?i)(Rs\.?|₹|INR|USD|\$)", "")
     parsed = X.found(F.translate(bare, ", ", ""), r"(?U)-?\d+(\.\d+)?", 0).try_cast("double")
     return X.let(
@@ -34,7 +34,7 @@ def amount(raw: Column, nfkc: X.NFKC = X.fold_widths, settings: S.Settings = S.D
     )
 
 
-def date_text(raw: Column, as_of: date, nfkc: X.NFKC = X.fold_widths) -> Column:
+def date_text(raw: Column, as_of: date, nfkc: X.NFKC = X.nfkc) -> Column:
     """ISO text stays as it is. Else yyyyMMdd, y-m-d, and month-first n-n-y (day-first if the first is above 12);
     with fewer than three numbers it is no date, rather than one filled up from today."""
     packed, ymd, any_order = r"^(\d{4})(\d{2})(\d{2})$", r"^(\d{4})[-.](\d{1,2})[-.](\d{1,2})$", r"^(\d{1,2})[-.](\d{1,2})[-.](\d{4}|\d{2})$"
@@ -63,7 +63,7 @@ def date_text(raw: Column, as_of: date, nfkc: X.NFKC = X.fold_widths) -> Column:
     return X.let(X.repair_digits(X.strip(X.clean_unicode(raw, nfkc))), judged)
 
 
-def date_with_months(raw: Column, as_of: date, nfkc: X.NFKC = X.fold_widths) -> Column:
+def date_with_months(raw: Column, as_of: date, nfkc: X.NFKC = X.nfkc) -> Column:
     """Second contract: slashes and month names are read before digits are repaired; day first, then month."""
     own = F.regexp_replace(X.strip(X.clean_unicode(raw, nfkc)), r"(?i)(\d{1,2})(st|nd|rd|th)\b", "$1")
     named = X.found(own, rf"(?i)^(\d{{1,2}}\s+(?:{S.MONTHS})[a-z]*\s+\d{{4}})$", 1)
@@ -73,7 +73,7 @@ def date_with_months(raw: Column, as_of: date, nfkc: X.NFKC = X.fold_widths) ->
     return F.when(parsed.isNotNull(), outcome(raw, F.date_format(parsed, "yyyy-MM-dd"), "parsed")).otherwise(date_text(raw, as_of, nfkc))
 
 
-def phone(raw: Column, nfkc: X.NFKC = X.fold_widths) -> Column:
+def phone(raw: Column, nfkc: X.NFKC = X.nfkc) -> Column:
     return X.let(
         X.digits(X.clean_unicode(raw, nfkc)),
         lambda own: F.when(is_empty(raw), outcome(raw, None, "empty_input"))
@@ -84,7 +84,7 @@ def phone(raw: Column, nfkc: X.NFKC = X.fold_widths) -> Column:
     )
 
 
-def email(raw: Column, nfkc: X.NFKC = X.fold_widths) -> Column:
+def email(raw: Column, nfkc: X.NFKC = X.nfkc) -> Column:
     def mended(domain: Column) -> Column:
         """Each mistyped domain in turn, on what the ones before made of it."""
         for bad, good in S.DOMAINS.items():
@@ -109,20 +109,20 @@ def _mend(domain: Column, bad: str, good: str) -> Column:
     return X.let(domain, lambda d: F.when(F.contains(d, F.lit(bad)), F.lit(good)).otherwise(d))
 
 
-def string(raw: Column, nfkc: X.NFKC = X.fold_widths) -> Column:
+def string(raw: Column, nfkc: X.NFKC = X.nfkc) -> Column:
     return F.when(is_empty(raw), outcome(raw, None, "empty_input")).otherwise(outcome(raw, X.collapse(X.clean_unicode(raw, nfkc)), "cleaned"))
 
 
-def normalizer(name: str, as_of: date, nfkc: X.NFKC = X.fold_widths):
+def normalizer(name: str, as_of: date, nfkc: X.NFKC = X.nfkc, months: bool = False):
     if name in ("amount_estimated", "insured_amount"):
         return lambda raw: amount(raw, nfkc)
     if name == "date":
-        return lambda raw: date_text(raw, as_of, nfkc)
+        return lambda raw: (date_with_months if months else date_text)(raw, as_of, nfkc)
     return {"phone": lambda raw: phone(raw, nfkc), "email": lambda raw: email(raw, nfkc)}.get(name, lambda raw: string(raw, nfkc))
 
 
-def all_fields(raw: dict[str, Column], as_of: date, nfkc: X.NFKC = X.fold_widths) -> Column:
-    return X.held(F.struct(*[X.let(raw[n], normalizer(n, as_of, nfkc)).alias(n) for n in S.FIELDS]))
+def all_fields(raw: dict[str, Column], as_of: date, nfkc: X.NFKC = X.nfkc, months: bool = False) -> Column:
+    return X.held(F.struct(*[X.let(raw[n], normalizer(n, as_of, nfkc, months)).alias(n) for n in S.FIELDS]))
 
 
 def inferred(name: str, raw: Column, as_of: date) -> Column:

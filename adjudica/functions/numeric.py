@@ -27,10 +27,16 @@ def ordered_blocks(blocks: Column) -> Column:
 
 
 def has_table(blocks: Column) -> Column:
-    """Six blocks or more, and two columns or more that three blocks or more begin at."""
-    edges = F.transform(blocks, lambda b: F.bround(b["x0"], 0))
-    columns = F.filter(F.array_distinct(edges), lambda e: F.size(F.filter(edges, lambda x: x == e)) >= 3)
-    return F.coalesce((F.size(blocks) >= 6) & (F.size(columns) >= 2), F.lit(False))
+    """Six blocks or more, and two columns or more that three blocks or more begin at. Among the sorted edges, the last
+    of such a column equals the one two places before it and not the one after it."""
+    def wide(edges: Column) -> Column:
+        def last(e: Column, i: Column) -> Column:
+            return (F.get(edges, i - 2) == e) & ~F.coalesce(F.get(edges, i + 1) == e, F.lit(False)) & (i >= 2)
+
+        return F.size(F.filter(edges, last)) >= 2
+
+    edges = F.array_sort(F.transform(blocks, lambda b: F.bround(b["x0"], 0)))
+    return F.coalesce((F.size(blocks) >= 6) & X.let(edges, wide), F.lit(False))
 
 
 def is_scanned(text: Column, blocks: Column) -> Column:
@@ -47,6 +53,11 @@ def confidence_of_length(n: Column, scanned: Column, table: Column) -> Column:
     return F.when(n == 0, F.lit(0.1)).otherwise(F.round(F.greatest(F.lit(0.10), F.least(F.lit(0.99), less)), 2))
 
 
+def capped_mean(total: Column, n: Column) -> Column:
+    """A mean of percentages as a share of one, from its sum."""
+    return share_of_one(total / n)
+
+
 def best_by_confidence(variants: Column) -> Column:
     """The variant with the highest confidence; the first of equals."""
     ranked = F.transform(variants, lambda v, i: F.struct(v["confidence"].alias("c"), (-i).alias("i"), v.alias("v")))

@@ -22,7 +22,8 @@ def held(x: Column) -> Column:
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    """Without white space at the ends; a list of characters costs less than a pattern."""
+    return F.btrim(x, F.lit(S.WHITE_SPACE))
 
 
 def collapse(x: Column) -> Column:
@@ -30,9 +31,30 @@ def collapse(x: Column) -> Column:
     return strip(F.regexp_replace(x, r"(?U)\s+", " "))
 
 
-def found(x: Column, pattern: str, group: int = 1) -> Column:
-    """The first match's group; null where there is none or it is empty."""
-    return F.nullif(F.regexp_extract(x, pattern, group), F.lit(""))
+def is_ascii(x: Column) -> Column:
+    return F.length(x) == F.octet_length(x)
+
+
+def is_plain(x: Column) -> Column:
+    """ASCII but for the rupee sign, which is no letter, digit or white space either."""
+    return is_ascii(F.replace(x, F.lit("\u20b9"), F.lit("")))
+
+
+def ascii_form(pattern: str) -> str:
+    """The pattern for plain texts: it finds the same there, without Unicode's classes and cases."""
+    return pattern.replace("(?iU)", "(?i)").replace("(?U)", "")
+
+
+def found(x: Column, pattern: str, group: int = 1, plain: Column | None = None) -> Column:
+    """The first match's group; null where there is none or it is empty. ``plain``: whether the text is plain."""
+    own = F.regexp_extract(x, pattern, group)
+    if plain is not None and ascii_form(pattern) != pattern:
+        own = F.when(plain, F.regexp_extract(x, ascii_form(pattern), group)).otherwise(own)
+    return F.nullif(own, F.lit(""))
+
+
+def matches(x: Column, pattern: str, plain: Column) -> Column:
+    return F.when(plain, x.rlike(ascii_form(pattern))).otherwise(x.rlike(pattern))
 
 
 def printable_share(x: Column) -> Column:
@@ -74,9 +96,15 @@ def following(lines: Column, index: Column, most: int) -> Column:
     return F.aggregate(F.slice(lines, index + 2, most), start, step, lambda held: F.array_join(held["taken"], " "))
 
 
-def first_found(lines: Column, pattern: str, group: int = 1) -> Column:
-    """From the first line that matches."""
-    return F.get(F.filter(F.transform(lines, lambda x: found(strip(x), pattern, group)), lambda x: x.isNotNull()), 0)
+def one_text(lines: Column) -> Column:
+    """Stripped lines with zero characters between them, which only a dot matches."""
+    return F.array_join(F.transform(lines, strip), "\x00")
+
+
+def first_found(joined: Column, pattern: str, group: int = 1, plain: Column | None = None) -> Column:
+    """From the first line of ``one_text`` that matches a pattern without a dot, anchors or negated classes: no such
+    match can leave its line, so one search of the whole text finds it."""
+    return found(joined, pattern, group, plain)
 
 
 def context(text: Column, most: int = S.DEFAULTS.context_lines) -> Column:
@@ -97,15 +125,13 @@ def repair_digits(x: Column) -> Column:
     return strip(x)
 
 
-def fold_widths(x: Column) -> Column:
-    """Full-width forms and spaces of other widths to ASCII: what NFKC does to them, without leaving the JVM."""
-    wide, narrow = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
-    spaces = "\u00a0\u2002\u2003\u2007\u2009\u202f\u3000"
-    return F.translate(x, wide + spaces, narrow + " " * len(spaces))
+def nfkc(x: Column) -> Column:
+    """NFKC by the Unicode library that Spark ships for its collations: only texts beyond ASCII reach it."""
+    made = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), x, F.lit(True))
+    return F.when(x.isNull() | is_ascii(x), x).otherwise(made)
 
 
-def clean_unicode(x: Column, nfkc: NFKC = fold_widths) -> Column:
-    """``nfkc``: adapters.nfkc for every compatibility form, by Arrow batches; the default covers widths only."""
+def clean_unicode(x: Column, nfkc: NFKC = nfkc) -> Column:
     for old, new in S.PUNCTUATION.items():
         x = F.replace(x, F.lit(old), F.lit(new))
     return nfkc(x)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def event_hash(event: Column, details: Column, at: Column) -> Column:
-    return F.sha2(F.concat(event, F.coalesce(details, F.lit("")), at.cast("string")), 256)
+    """The time counts as microseconds since 1970, so the session's time zone has no part in it."""
+    return F.sha2(F.concat(event, F.coalesce(details, F.lit("")), F.unix_micros(at.cast("timestamp")).cast("string")), 256)
 
 
 def events(df: DataFrame, event: str, details: Column, at: Column, key: str = "claim_id") -> DataFrame:

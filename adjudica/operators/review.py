@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from adjudica import settings as S
 
@@ -29,9 +29,11 @@ def tasks(decided: DataFrame, created_at: Column, confidences_col: str | None =
 
 
 def latest(feedback: DataFrame, key: str = "claim_id", at: str = "reviewed_at", tie: str | None = None) -> DataFrame:
-    """The last submission of each claim."""
-    order = [F.col(at).desc(), *([F.col(tie).desc()] if tie else [])]
-    return feedback.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_nth = 1").drop("_nth")
+    """The last submission of each claim, combined before the shuffle; of those at one time the one with the largest
+    ``tie``, else with the largest hash of its content."""
+    rest = [c for c in feedback.columns if c != key]
+    last = F.max_by(F.struct(*rest), F.struct(F.col(at), F.col(tie) if tie else F.xxhash64(F.to_json(F.struct(*rest)))))
+    return feedback.groupBy(key).agg(last.alias("_last")).select(*[key if c == key else F.col("_last")[c].alias(c) for c in feedback.columns])
 
 
 def pending(all_tasks: DataFrame, feedback: DataFrame, key: str = "claim_id") -> DataFrame:

@@ -22,7 +22,7 @@ def codes(*pairs: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*[F.when(condition, F.lit(code)) for condition, code in pairs]))
 
 
-def normalize_fields(df: DataFrame, as_of: date, nfkc: X.NFKC = X.fold_widths, out: str = "normalized") -> DataFrame:
+def normalize_fields(df: DataFrame, as_of: date, nfkc: X.NFKC = X.nfkc, out: str = "normalized") -> DataFrame:
     """Adds a struct of the ten normalized fields from string columns of their names."""
     return df.withColumn(out, N.all_fields({n: F.col(n) for n in S.FIELDS}, as_of, nfkc))
 
@@ -100,9 +100,14 @@ def advice_of(c: Column) -> Column:
     return X.let(F.greatest(F.lit(0.0), F.least(F.lit(1.0), risk)), lambda r: F.struct(r.alias("risk"), advice(r).alias("advice")))
 
 
+# The reasons' sentences.
+EXCEEDS, NOT_POSITIVE = "Claimed amount greater than insured amount.", "Claim amount is zero or negative."
+ALL_VALID, SOME_WEAK, CRITICAL = "All required fields valid.", "Some fields need manual review.", "Critical violation detected."
+
+
 def result_of(f: Column, c: Column, a: Column, settings: S.Settings) -> Column:
-    given = F.array_compact(F.array(F.when(F.array_contains(c["issues"], "amount_exceeds_insured"), F.lit("Claimed amount greater than insured amount.")), F.when(F.array_contains(c["issues"], "non_positive_amount"), F.lit("Claim amount is zero or negative."))))
-    default = F.when(a["advice"] == "approve", "All required fields valid.").when(a["advice"] == "review", "Some fields need manual review.").otherwise("Critical violation detected.")
+    given = F.array_compact(F.array(F.when(F.array_contains(c["issues"], "amount_exceeds_insured"), F.lit(EXCEEDS)), F.when(F.array_contains(c["issues"], "non_positive_amount"), F.lit(NOT_POSITIVE))))
+    default = F.when(a["advice"] == "approve", ALL_VALID).when(a["advice"] == "review", SOME_WEAK).otherwise(CRITICAL)
     names = F.array(*[F.lit(n) for n in S.FIELDS])
     explained = F.struct(
         F.lit(settings.low_score).alias("low_confidence_threshold"),

@@ -1,4 +1,4 @@
-"""Claims over the order tables: one claim per order, and the same claim written out as a form."""
+"""Claims over the order tables: one claim per order, and the same claim written out in one of several ways."""
 
 from __future__ import annotations
 
@@ -14,6 +14,12 @@ FORM = (
     ("Full Name: ", "Asha Example"), ("Contact Number: ", "phone"), ("Email Address: ", "email"), ("", ""), ("Registration Number: ", "XX-01-YZ-0001"), ("Make: ", "Sample"),
     ("Model: ", "Demo"), ("Year: ", "2020"), ("", ""), ("Insured Amount: ₹", "insured_amount"), ("Nature of Damage: ", "damage"), ("Estimated Repair Cost: ", "amount_estimated"),
 )
+LETTER = (
+    ("", "To the desk,"), ("Our clm ref ", "claim_id"), ("under pn ", "policy_no"), ("written ", "date"), ("Call 12345678 or ", "phone"), ("or write to ", "email"), ("", ""),
+    ("Vehicle Details: ", "Sample Demo"), ("", "with a roof rack"), ("", "NOTES BELOW"), ("", "plate KA-05-MN-1234"), ("Loss: ", "damage"), ("", "seen by a neighbour"), ("", ""),
+    ("", "Total Estimated Cost"), ("", "amount_estimated"), ("", "as quoted"), ("Insured Amount: Rs. ", "insured_amount"), ("Claimant Signature: ", "Asha Example"),
+)
+NOTE = (("", "Ravi Kumar"), ("", "wrote in about a dent."), ("Asks for ", "amount_estimated"), ("mail ", "email"), ("", "Registration Number - AB 12 CD 3456"), ("Year: ", "2019"), ("", "No damage to others"))
 COLUMNS = ("claim_id", "policy_no", "date", "phone", "email", "insured_amount", "damage", "amount_estimated")
 
 
@@ -39,13 +45,25 @@ def claims_sql(grouped: str, orders: str = "orders", customer: str = "customer")
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey"""
 
 
+def lines_sql(form: tuple) -> str:
+    return " || chr(10) || ".join("''" if not (a or b) else (f"'{a}' || coalesce({b}, '')" if b in COLUMNS else f"'{a}{b}'") for a, b in form)
+
+
 def form_sql(claims: str) -> str:
-    lines = " || chr(10) || ".join("''" if not (a or b) else (f"'{a}' || coalesce({b}, '')" if b in COLUMNS else f"'{a}{b}'") for a, b in FORM)
-    return f"SELECT claim_key, {lines} AS raw_text FROM ({claims})"
+    """Of ten claims four are forms, two letters, two notes, one is empty and one holds nothing readable."""
+    return f"""SELECT claim_key, CASE WHEN claim_key % 5 = 2 THEN {lines_sql(LETTER)} WHEN claim_key % 5 = 3 THEN {lines_sql(NOTE)}
+  WHEN claim_key % 10 = 4 THEN '' WHEN claim_key % 10 = 9 THEN repeat('é', 2100) ELSE {lines_sql(FORM)} END AS raw_text FROM ({claims})"""
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores is dealt out again; a large one stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
+    orders = spread(orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderdate"))
     return spark.sql(claims_sql("format_number({x}, 2)", "{orders}", "{customer}"), orders=orders, customer=customer)
 
 

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from adjudica import settings as S
 from adjudica.functions import normalize as N, numeric as Q, redact as R, text as X
 from adjudica.operators import access, audit, infer as I, retention, review
-from adjudica.operators.extract import extract_fields
+from adjudica.operators.extract import extract_fields, several
 from adjudica.plans.claims import AS_OF, claims, claims_sql, form_sql, forms
 from adjudica.plans.pipeline import process_columns, process_text
 from adjudica.sources.files import html_to_text
+from adjudica.sources.pages import assess_pages, best_variant
 from adjudica.sources.store import load_claims
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,7 +127,12 @@ def normalize_date_iso(spark, sf_dir):
     return normalized(spark, sf_dir, "date", "date_value")
 
 
-@query()
+SQL_MISREAD = "replace(replace(amount_estimated, '0', 'O'), '1', 'l')"
+SQL_ZEROS = f"regexp_replace(regexp_replace({SQL_MISREAD}, '[Oo]([0-9])', '0\\1', 'g'), '([0-9])[Oo]', '\\10', 'g')"
+SQL_ONES = f"regexp_replace(regexp_replace({SQL_ZEROS}, '[lI]([0-9])', '1\\1', 'g'), '([0-9])[lI]', '\\11', 'g')"
+
+
+@query(f"WITH {CLAIMS} SELECT claim_key, trim(regexp_replace({SQL_ONES}, '[^0-9.,\\-₹Rs$ ]', '', 'g')) AS repaired FROM c")
 def ocr_digit_repair(spark, sf_dir):
     """Zeros and ones misread as letters, and what the repair makes of them."""
     return claims(spark, sf_dir).select("claim_key", X.repair_digits(F.translate("amount_estimated", "01", "Ol")).alias("repaired"))
@@ -174,51 +180,138 @@ def decision_counts(spark, sf_dir):
     return made.groupBy("decision").agg(F.count("*").alias("n"), F.sum(F.round(F.col("c") * 100).cast("long")).alias("confidence_hundredths"))
 
 
-# ---- extraction from forms
+# ---- extraction from forms, letters and notes
+
+def rx(pattern: str) -> str:
+    """A pattern of the rules as an SQL literal; the engine's classes are ASCII's, as all that these texts hold."""
+    return "'" + X.ascii_form(pattern).replace("'", "''") + "'"
+
+
+def sql_line(pattern: str, group: int = 1, lines: str = "s") -> str:
+    """From the first line that matches."""
+    return f"list_filter(list_transform({lines}, lambda t: regexp_extract(t, {rx(pattern)}, {group})), lambda t: t <> '')[1]"
+
+
+def sql_whole(pattern: str, group: int = 1) -> str:
+    return f"CASE WHEN unfit THEN '' ELSE regexp_extract(x, {rx(pattern)}, {group}) END"
+
+
+def sql_collapse(value: str) -> str:
+    return f"trim(regexp_replace({value}, '\\s+', ' ', 'g'))"
+
+
+def sql_keyword(words: tuple[str, ...]) -> str:
+    told = " OR ".join(f"contains(lower(t), '{w}')" for w in words)
+    return f"list_filter(list_transform(s, lambda t: CASE WHEN {told} THEN regexp_extract(t, {rx(S.CODE)}, 0) ELSE '' END), lambda t: t <> '')[1]"
+
+
+def sql_following(i: str, most: int) -> str:
+    stop = f"list_position(list_transform(s[{i} + 1:{i} + {most}], lambda u: u = '' OR regexp_matches(u, {rx(S.HEADER)})), true)"
+    return f"array_to_string(s[{i} + 1:least({i} + {most}, {i} + coalesce(nullif({stop}, 0), {most} + 1) - 1)], ' ')"
+
+
+def sql_with_following(pattern: str, clean) -> str:
+    base = f"regexp_extract(s[i], {rx(pattern)}, 1)"
+    return f"list_filter(list_transform(range(1, len(s) + 1), lambda i: CASE WHEN {base} <> '' THEN trim({clean(base)} || ' ' || {sql_following('i', 3)}) END), lambda t: t IS NOT NULL)[1]"
+
+
+def sql_token(value: str) -> str:
+    """The first amount token of a value, null if there is none."""
+    number = f"regexp_replace(regexp_extract({value}, {rx(S.AMOUNT)}, 2), '[\\s,]', '', 'g')"
+    return f"CASE WHEN {number} <> '' THEN regexp_replace(regexp_extract({value}, {rx(S.AMOUNT)}, 1), '(.)$', '\\1 ') || printf('%.2f', {number}::DOUBLE) END"
+
+
+def sql_labelled(value: str) -> str:
+    return f"list_filter(list_transform(range(1, len(r) + 1), lambda i: CASE WHEN regexp_matches(r[i], {rx(S.ESTIMATE)}) THEN {value} END), lambda t: t IS NOT NULL)[1]"
+
+
+SQL_HERE, SQL_NEXT = sql_token("r[i]"), sql_token(sql_following("i", 2))
+SQL_INSURED = f"regexp_replace({sql_whole(S.INSURED_AMOUNT, 2)}, '[,\\s]', '', 'g')"
+SQL_PHONE_FIRST = sql_line(S.PHONE)
+SQL_PHONE_OTHER = f"list_filter(regexp_extract_all(x, {rx(S.PHONE)}, 1), lambda m: regexp_replace(m, '[^0-9]', '', 'g') <> regexp_replace(p, '[^0-9]', '', 'g'))[1]"
+
+
+def sql_phone(value: str) -> str:
+    return f"CASE WHEN starts_with({value}, '+') THEN '+' ELSE '' END || regexp_replace({value}, '[^0-9]', '', 'g')"
+
+
+# For each field its rules in order: (value, method).
+SQL_FIELDS = {
+    "claim_id": [(sql_collapse(sql_whole(S.CLAIM_ID)), "regex"), (sql_keyword(S.CLAIM_ID_WORDS), "keyword")],
+    "policy_no": [(sql_collapse(sql_whole(S.POLICY_NO)), "regex"), (sql_keyword(S.POLICY_NO_WORDS), "keyword")],
+    "claimant_name": [(sql_collapse(sql_line(S.NAME_LINE)), "regex-line"), (sql_collapse(sql_line(S.SIGNATURE, lines="r")), "signature"), (f"list_filter(s[1:20], lambda t: regexp_matches(t, {rx(S.TITLE_CASE)}))[1]", "titlecase")],
+    "phone": [(f"CASE WHEN length(regexp_replace(p, '[^0-9]', '', 'g')) IN (6, 8) THEN {sql_phone(SQL_PHONE_OTHER)} END", "alt-phone"), (sql_phone("p"), "regex")],
+    "email": [(sql_whole(S.EMAIL, 0), "regex")],
+    "vehicle": [(sql_with_following(S.VEHICLE, "trim({})".format), "multiline")],
+    "registration_no": [(sql_collapse(sql_whole(S.REGISTRATION, 0)), "regex"), (sql_collapse(sql_line(S.REGISTRATION_LINE)), "regex")],
+    "make": [(sql_collapse(sql_line(S.MAKE)), "regex")],
+    "model": [(sql_collapse(sql_line(S.MODEL)), "regex")],
+    "year": [(sql_collapse(sql_line(S.YEAR)), "regex")],
+    "damage": [(sql_with_following(S.DAMAGE, sql_collapse), "multiline")],
+    "amount_estimated": [(sql_labelled(f"CASE WHEN {SQL_HERE} IS NOT NULL THEN {SQL_HERE} END"), "labelled"), (sql_labelled(SQL_NEXT), "labelled-next"), (f"CASE WHEN NOT unfit THEN {sql_token('x')} END", "heuristic")],
+    "insured_amount": [(f"printf('%.2f', try_cast({SQL_INSURED} AS DOUBLE))", "labelled")],
+    "date": [(sql_line(S.DATE), "regex")],
+}
+LINED = f"""{FORMS}, u AS (SELECT claim_key, raw_text AS x, raw_text = '' OR (length(raw_text) > 2000 AND length(regexp_replace(raw_text, '[^\\x20-\\x7E\\n\\r\\t]', '', 'g')) < 0.55 * length(raw_text)) AS unfit FROM f),
+v AS (SELECT *, CASE WHEN unfit THEN [] ELSE string_split(x, chr(10)) END AS r FROM u), w AS (SELECT *, list_transform(r, lambda t: trim(t)) AS s FROM v), l AS (SELECT *, {SQL_PHONE_FIRST} AS p FROM w)"""
+
+
+def sql_extracted(*names: str) -> str:
+    tried = ", ".join(f"nullif({value}, '') AS {n}_{k}" for n in names for k, (value, _) in enumerate(SQL_FIELDS[n]))
+    value = lambda n: "coalesce(" + ", ".join(f"{n}_{k}" for k in range(len(SQL_FIELDS[n]))) + f", NULL) AS {n}"
+    method = lambda n: "CASE " + " ".join(f"WHEN {n}_{k} IS NOT NULL THEN '{m}'" for k, (_, m) in enumerate(SQL_FIELDS[n])) + f" ELSE 'init' END AS {n}_method"
+    return f"{LINED}, t AS (SELECT claim_key, x, unfit, {tried} FROM l), e AS (SELECT claim_key, x, unfit, {', '.join(value(n) for n in names)}, {', '.join(method(n) for n in names)} FROM t)"
+
 
 def extracted(spark, sf_dir, *names):
     e = F.col("extracted")
     return extract_fields(forms(spark, sf_dir), names=names).select("claim_key", *[e[n]["value"].alias(n) for n in names], *[e[n]["method"].alias(f"{n}_method") for n in names])
 
 
-@query(f"""{FORMS}, x AS (SELECT claim_key, regexp_extract(raw_text, '(?i)\\bclaim\\s*(?:reference|ref|id|no|number)[\\s:\\-]*([A-Z0-9][A-Z0-9/\\-]{{4,}})\\b', 1) AS claim_id,
-  regexp_extract(raw_text, '(?i)\\b(?:policy\\s*(?:number|no|id)?|pol(?:icy)?\\s*no|pol\\s*id|policy[-_ ]?no|policynum)[\\s:\\-]*([A-Z0-9][A-Z0-9/\\-_]{{3,}})\\b', 1) AS policy_no FROM f)
-SELECT claim_key, claim_id, policy_no, 'regex' AS claim_id_method, 'regex' AS policy_no_method FROM x""")
-def extract_ids(spark, sf_dir):
-    return extracted(spark, sf_dir, "claim_id", "policy_no")
+def sql_of(*names: str) -> str:
+    return f"{sql_extracted(*names)} SELECT claim_key, {', '.join(names)}, {', '.join(n + '_method' for n in names)} FROM e"
 
 
-AMOUNT_SQL = "'(?i)(₹|rs\\.?|inr|\\$)?\\s*([0-9]{1,3}(?:[,\\s][0-9]{3})*(?:\\.[0-9]{1,2})?|[0-9]+(?:\\.[0-9]{1,2})?)'"
+@query(sql_of("claim_id", "policy_no"))
+def extract_ids(spark, sf_dir):
+    return extracted(spark, sf_dir, "claim_id", "policy_no")
 
 
-@query(f"""{FORMS}, l AS (SELECT claim_key, string_split(raw_text, chr(10)) AS lines FROM f), x AS (SELECT claim_key, regexp_extract(lines[18], {AMOUNT_SQL}, 1) AS cur, replace(regexp_extract(lines[18], {AMOUNT_SQL}, 2), ',', '') AS num, regexp_extract(lines[16], '₹([0-9.]+)', 1) AS ins FROM l)
-SELECT claim_key, cur || ' ' || printf('%.2f', num::DOUBLE) AS amount_estimated, CASE WHEN ins <> '' THEN printf('%.2f', ins::DOUBLE) END AS insured_amount, 'labelled' AS amount_estimated_method, CASE WHEN ins <> '' THEN 'labelled' ELSE 'init' END AS insured_amount_method FROM x""")
+@query(sql_of("amount_estimated", "insured_amount"))
 def extract_amounts(spark, sf_dir):
     return extracted(spark, sf_dir, "amount_estimated", "insured_amount")
 
 
-@query()
+@query(sql_of("claimant_name", "phone", "email", "date"))
 def extract_contact(spark, sf_dir):
     return extracted(spark, sf_dir, "claimant_name", "phone", "email", "date")
 
 
-@query(f"""{FORMS} SELECT claim_key, 'INSURANCE CLAIM FORM' AS vehicle, 'XX-01-YZ-0001' AS registration_no, regexp_extract(raw_text, '(?i)Make: ([A-Za-z0-9 ]+)', 1) AS make, regexp_extract(raw_text, '(?i)Model: ([A-Za-z0-9 ]+)', 1) AS model,
-  regexp_extract(raw_text, 'Year: ([0-9]{{4}})', 1) AS year, 'multiline' AS vehicle_method, 'regex' AS registration_no_method, 'regex' AS make_method, 'regex' AS model_method, 'regex' AS year_method FROM f""")
+@query(sql_of("vehicle", "registration_no", "make", "model", "year"))
 def extract_vehicle(spark, sf_dir):
     return extracted(spark, sf_dir, "vehicle", "registration_no", "make", "model", "year")
 
 
-@query(f"""{FORMS}, l AS (SELECT claim_key, string_split(raw_text, chr(10)) AS lines FROM f) SELECT claim_key, regexp_extract(lines[17], ': (.*)', 1) || ' ' || trim(lines[18]) AS damage, 'multiline' AS damage_method FROM l""")
+@query(sql_of("damage"))
 def extract_multiline_damage(spark, sf_dir):
     return extracted(spark, sf_dir, "damage")
 
 
-@query(f"WITH {CLAIMS} SELECT claim_key, CASE WHEN claim_key % 19 = 0 OR claim_key % 23 = 0 THEN 'missing_date' ELSE '' END AS notes FROM c")
+@query(f"""{sql_extracted(*S.NOTED_IF_MISSING)} SELECT claim_key, CASE WHEN x = '' THEN 'EMPTY_TEXT' WHEN unfit THEN 'BINARY_OR_GIBBERISH_TEXT' ELSE
+  array_to_string(list_filter([{', '.join(f"CASE WHEN {n} IS NULL THEN 'missing_{n}' END" for n in S.NOTED_IF_MISSING)}], lambda t: t IS NOT NULL), '|') END AS notes FROM e""")
 def extract_notes(spark, sf_dir):
     return extract_fields(forms(spark, sf_dir)).select("claim_key", F.array_join("extract_notes", "|").alias("notes"))
 
 
-@query(f"""{FORMS}, l AS (SELECT claim_key, unnest(range(len(string_split(raw_text, chr(10)))))::INTEGER AS line_no, unnest(string_split(raw_text, chr(10))) AS line FROM f) SELECT * FROM l""")
+@query(f"""{sql_extracted('policy_no', 'email')}, d AS (SELECT claim_key, list_distinct(list_transform(regexp_extract_all(x, {rx(S.CLAIM_ID)}, 1), lambda t: upper(t))) AS c, list_distinct(list_transform(regexp_extract_all(x, {rx(S.PHONE)}, 1), lambda t: regexp_replace(t, '[^0-9]', '', 'g'))) AS p,
+  list_distinct(list_transform(regexp_extract_all(x, {rx(S.POLICY_NO)}, 1), lambda t: upper(t))) AS n, list_distinct(list_transform(regexp_extract_all(x, {rx(S.EMAIL)}, 0), lambda t: lower(t))) AS e FROM l)
+SELECT claim_key, array_to_string(list_filter([CASE WHEN len(n) > 1 THEN 'policy_no' END, CASE WHEN len(c) > 1 THEN 'claim_id' END, CASE WHEN len(p) > 1 THEN 'phone' END, CASE WHEN len(e) > 1 THEN 'email' END], lambda t: t IS NOT NULL), '|') AS several FROM d""")
+def several_candidates(spark, sf_dir):
+    """Fields of which a text holds more than one value."""
+    return forms(spark, sf_dir).select("claim_key", F.array_join(several(F.col("raw_text")), "|").alias("several"))
+
+
+@query(f"""{FORMS}, l AS (SELECT claim_key, unnest(range(len(string_split(raw_text, chr(10)))))::INTEGER AS line_no, unnest(string_split(raw_text, chr(10))) AS line FROM f WHERE raw_text <> '') SELECT * FROM l""")
 def line_index(spark, sf_dir):
     rows = forms(spark, sf_dir).select("claim_key", F.inline(X.numbered(X.split_lines(F.col("raw_text")))))
     return rows.select("claim_key", F.col("index").alias("line_no"), F.col("text").alias("line"))
@@ -278,13 +371,40 @@ def redact_ids(spark, sf_dir):
     return claims(spark, sf_dir).select("claim_key", R.ids(F.col("claim_id")).alias("masked"))
 
 
-@query("SELECT doc_id, md5(regexp_replace(text, '\\b([A-Z][a-z]+)\\s+([A-Z])[a-z]+\\b', '\\1 \\2***', 'g')) AS masked_md5 FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+SQL_GAP = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
+
+def sql_names(value: str) -> str:
+    """A mark after every character that no word has, so that one such character can end a match and begin the next."""
+    marked = f"regexp_replace({value}, '([^\\p{{L}}\\p{{N}}_])', '\\1' || chr(1), 'g')"
+    return f"replace(regexp_replace({marked}, '(^|\\x01)([A-Z][a-z]+)(?:{SQL_GAP}\\x01)+([A-Z])[a-z]+($|[^\\p{{L}}\\p{{N}}_\\x01])', '\\1\\2 \\3***\\4', 'g'), chr(1), '')"
+
+
+@query(f"SELECT doc_id, md5({sql_names('text')}) AS masked_md5 FROM documents")
 def redact_names(spark, sf_dir):
-    """All documents; the SQL has those of ASCII alone, where its \\b means the same."""
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(R.names(F.col("text"))).alias("masked_md5"))
 
 
-@query()
+SQL_ID = "'(?i)\\b(CLM|CLAIM|PN|POLICY|POL)\\b([-:\\s]*)([A-Z0-9\\-_/]+)'"
+
+
+def sql_joined(masked: str) -> str:
+    """Parts between matches, each followed by its masked match."""
+    return f"array_to_string(list_transform(range(1, len(parts) + 1), lambda j: parts[j] || CASE WHEN j <= len(a) THEN {masked} ELSE '' END), '')"
+
+
+SQL_MASKED_MAIL = sql_joined("a[j][1:greatest(1, least(3, length(a[j]) // 2))] || repeat('*', greatest(0, length(a[j]) - greatest(1, least(3, length(a[j]) // 2)))) || '@' || b[j]")
+SQL_MASKED_PHONE = sql_joined("a[j][1:2] || repeat('*', length(a[j]) - 4) || right(a[j], 2)")
+SQL_MASKED_ID = sql_joined("a[j] || b[j] || CASE WHEN length(c[j]) <= 3 THEN left(c[j], 1) || repeat('*', length(c[j]) - 1) ELSE left(c[j], 2) || repeat('*', length(c[j]) - 3) || right(c[j], 1) END")
+
+
+@query(f"""WITH m AS (SELECT conv_id, turn, regexp_split_to_array(text, {MAIL_SQL}) AS parts, regexp_extract_all(text, {MAIL_SQL}, 1) AS a, regexp_extract_all(text, {MAIL_SQL}, 2) AS b FROM conversations),
+t AS (SELECT conv_id, turn, {SQL_MASKED_MAIL} AS x FROM m),
+p AS (SELECT conv_id, turn, regexp_split_to_array(x, {PHONE_SQL}) AS parts, list_transform(regexp_extract_all(x, {PHONE_SQL}), lambda k: right(regexp_replace(k, '[^0-9]', '', 'g'), 10)) AS a FROM t),
+u AS (SELECT conv_id, turn, {SQL_MASKED_PHONE} AS x FROM p),
+i AS (SELECT conv_id, turn, regexp_split_to_array(x, {SQL_ID}) AS parts, regexp_extract_all(x, {SQL_ID}, 1) AS a, regexp_extract_all(x, {SQL_ID}, 2) AS b, regexp_extract_all(x, {SQL_ID}, 3) AS c FROM u),
+n AS (SELECT conv_id, turn, {SQL_MASKED_ID} AS x FROM i)
+SELECT conv_id, turn, md5({sql_names('x')}) AS masked_md5 FROM n""")
 def redact_text(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(R.text(F.col("text"))).alias("masked_md5"))
 
@@ -341,18 +461,27 @@ def table_detect(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(blocks.alias("b")).select("l_orderkey", Q.has_table(F.col("b")).alias("has_table"))
 
 
-@query("SELECT user_id, arg_max(event_id, (value, -event_id)) AS best_event, max(value) AS confidence FROM events GROUP BY user_id")
+@query("SELECT user_id, arg_max('e' || event_id::VARCHAR, (value, length(event_id::VARCHAR), event_id::VARCHAR)) AS best_event, max(value) AS confidence FROM events GROUP BY user_id")
 def ocr_argmax(spark, sf_dir):
-    best = F.max(F.struct(F.col("value").alias("c"), (-F.col("event_id")).alias("e")))
-    made = read(spark, sf_dir, "events").groupBy("user_id").agg(best.alias("m"))
-    return made.select("user_id", (-F.col("m.e")).alias("best_event"), F.col("m.c").alias("confidence"))
+    """Events as the results of one user's page variants."""
+    tried = read(spark, sf_dir, "events").select("user_id", F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("text"), F.col("value").alias("confidence"), F.lit("none").alias("engine"))
+    return best_variant(tried, "user_id").select("user_id", F.col("text").alias("best_event"), "confidence")
 
 
-@query("SELECT event_type, count(*) AS n, round(least(1::DOUBLE, sum((value * 100)::DECIMAL(18,0))::DOUBLE / 100 / count(*) / 100), 3) AS mean_confidence FROM events GROUP BY event_type")
+@query("SELECT user_id, count(*) AS n, round(CASE WHEN avg(value) > 1 THEN least(1::DOUBLE, avg(value) / 100) ELSE avg(value) END, 3) AS mean_confidence FROM events GROUP BY user_id")
 def ocr_mean_conf(spark, sf_dir):
-    total = F.sum(F.round(F.col("value") * 100).cast("decimal(18,0)")).cast("double") / 100
-    made = read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), total.alias("t"))
-    return made.select("event_type", "n", F.round(F.least(F.lit(1.0), F.col("t") / F.col("n") / 100), 3).alias("mean_confidence"))
+    """Events as the words of one user's picture."""
+    made = read(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(F.col("value").alias("conf")))).alias("words"))
+    return made.select("user_id", F.size("words").cast("long").alias("n"), Q.mean_confidence(F.col("words")).alias("mean_confidence"))
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_extendedprice AS y, l_quantity AS x, l_linenumber AS n FROM lineitem)
+SELECT l_orderkey, string_agg(n::VARCHAR, chr(10) ORDER BY y, x, n) AS page_text, sha256(string_agg(n::VARCHAR, chr(10) ORDER BY y, x, n)) AS sha256 FROM b GROUP BY l_orderkey""")
+def page_order(spark, sf_dir):
+    """Line items as the blocks of a page without a text layer, placed by price and quantity."""
+    block = F.struct(F.col("l_quantity").cast("double").alias("x0"), F.col("l_extendedprice").cast("double").alias("y0"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.col("l_linenumber").cast("string").alias("text"), F.col("l_linenumber").cast("int").alias("no"))
+    pages = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(block).alias("blocks")).withColumn("layer", F.lit(""))
+    return assess_pages(pages).select("l_orderkey", F.col("text").alias("page_text"), "sha256")
 
 
 # ---- review, audit, retention, access

@@ -5,11 +5,15 @@ Patterns are in Java's syntax. ``(?U)`` gives ``\\s``, ``\\d``, ``\\w`` and ``\\
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, fields
 
 # The ten normalized fields and the fourteen extracted ones, in their order.
 FIELDS = ("claim_id", "policy_no", "claimant_name", "phone", "email", "vehicle", "damage", "date", "amount_estimated", "insured_amount")
 EXTRACTED = ("claim_id", "policy_no", "claimant_name", "phone", "email", "vehicle", "registration_no", "make", "model", "year", "damage", "amount_estimated", "insured_amount", "date")
+# What Java's and Python's classes of white space hold.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 REQUIRED = ("claim_id", "policy_no", "date", "amount_estimated")
 NOTED_IF_MISSING = ("claim_id", "policy_no", "claimant_name", "date", "amount_estimated")
 SEVERAL_CANDIDATES = ("policy_no", "claim_id", "phone", "email")
@@ -82,6 +86,19 @@ class Settings:
     context_lines: int = 40
     review_confidence: float = 0.8
     field_confidence: float = 0.5
+    model_tries: int = 2
+    model_pause: float = 0.8
+
+    @classmethod
+    def load(cls, conf: Callable[[str], str | None] | None = None, env: Mapping[str, str] = os.environ) -> Settings:
+        """The defaults, under what ``ADJUDICA_<NAME>`` in the environment or ``adjudica.<name>`` in ``conf`` (such as
+        ``lambda k: spark.conf.get(k, None)``) say; conf counts most. A value that is no number raises ValueError."""
+        given = {}
+        for f in fields(cls):
+            raw = (conf(f"adjudica.{f.name}") if conf else None) or env.get(f"ADJUDICA_{f.name.upper()}")
+            if raw:
+                given[f.name] = type(f.default)(float(raw))
+        return cls(**given)
 
 
 DEFAULTS = Settings()

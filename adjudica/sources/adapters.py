@@ -1,22 +1,16 @@
-"""What only Python does: every compatibility form of Unicode, dates in free text, JSON within prose, a model's answer."""
+"""What only Python does: dates in free text, JSON within prose, a model's answer."""
 
 from __future__ import annotations
 
 import json
-import unicodedata
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-
-def nfkc(x: Column) -> Column:
-    @F.arrow_udf("string")
-    def made(texts: pa.Array) -> pa.Array:
-        return pa.array([None if (v := t.as_py()) is None else v if v.isascii() else unicodedata.normalize("NFKC", v) for t in texts], pa.string())
-
-    return made(x)
+from adjudica import settings as S
 
 
 def fuzzy_date(x: Column, default: str) -> Column:
@@ -67,9 +61,9 @@ def json_block(x: Column) -> Column:
     return made(x)
 
 
-def ask(df: DataFrame, prompt_col: str, client: Callable[[], Callable[[str], str | None]] | None = None, tries: int = 2, out: str = "answer") -> DataFrame:
-    """Adds a model's answer to each prompt. Equal prompts are asked once; the client is made once a partition.
-    Without a client, every answer is null."""
+def ask(df: DataFrame, prompt_col: str, client: Callable[[], Callable[[str], str | None]] | None = None, tries: int = S.DEFAULTS.model_tries, pause: float = S.DEFAULTS.model_pause, out: str = "answer") -> DataFrame:
+    """Adds a model's answer to each prompt. Equal prompts are asked once; the client is made once a partition. A call
+    that fails is tried again after a pause in seconds. Without a client, every answer is null."""
     if client is None:
         return df.withColumn(out, F.lit(None).cast("string"))
 
@@ -79,7 +73,8 @@ def ask(df: DataFrame, prompt_col: str, client: Callable[[], Callable[[str], str
             answers = []
             for prompt in frame["_prompt"]:
                 answer = None
-                for _ in range(tries):
+                for attempt in range(tries):
+                    time.sleep(pause if attempt else 0)
                     try:
                         answer = call(prompt)
                         break

@@ -1,3 +1,4 @@
+import unicodedata
 from datetime import date
 
 import pytest
@@ -59,7 +60,8 @@ def test_emails(spark):
 def test_strings_and_unicode(spark):
     assert outcomes(spark, ["ﬁle —  test x", None], N.string) == [("file - test x", True, "cleaned"), ("", False, "empty_input")]
     assert column(spark, ["Ａ１　b"], X.clean_unicode) == ["A1 b"]
-    assert column(spark, ["½ ①", "plain", None], adapters.nfkc) == ["1⁄2 1", "plain", None]
+    odd = ["½ ①", "plain", None, "", "ﬁn ²", "Ａ　ｂ", "é́", "ﷺ", "㍿", "ℌ", "¨", "각", "가", "ﾊﾟ", "😀"]
+    assert column(spark, odd, X.nfkc) == [None if v is None else unicodedata.normalize("NFKC", v) for v in odd]
     assert column(spark, ["on 12 Oct 2024 maybe", "none", None], lambda x: adapters.fuzzy_date(x, "2000-07-09"))[0::2] == ["2024-10-12", None]
     assert [o[0] for o in outcomes(spark, ["null", " 5 "], lambda x: N.inferred("amount_estimated", x, AS_OF))] == ["", "5.00"]
 
@@ -172,3 +174,36 @@ def test_json_blocks(text, block):
 def test_tolerant_json(spark):
     got = column(spark, ['{"k": "v"}', "{'k': 'v',}", "nope {", None], lambda x: F.try_variant_get(X.tolerant_json(x), "$.k", "string"))
     assert got == ["v", "v", None, None]
+
+
+def test_superscripts_and_ligatures_are_folded_in_the_plan(spark):
+    """Compatibility forms reach every normalizer, inside the nested plan too."""
+    from adjudica.plans.pipeline import process_columns
+
+    row = {n: "" for n in S.FIELDS} | {"claim_id": "CLM\u2011①", "amount_estimated": "Rs. １２３.５０", "date": "２０２５-01-02", "email": "ａ@b.com", "phone": "９８７６５４３２１０", "vehicle": "oﬃce　car"}
+    got = process_columns(spark.createDataFrame([tuple(row.values())], ", ".join(f"{n} string" for n in row)), AS_OF).first().normalized
+    assert (got.amount_estimated.value, got.date.value, got.email.value, got.phone.value, got.vehicle.value) == ("123.50", "2025-01-02", "a@b.com", "+919876543210", "office car")
+
+
+def test_dates_with_months_in_the_plan(spark):
+    from adjudica.plans.pipeline import process_text
+
+    df = spark.createDataFrame([("Claim Reference: CLM-12345\nDate: 5 March 2025\nPolicy Number: P-1234\nPolicy Number: P-9999",)], "raw_text string")
+    made = process_text(df, AS_OF, months=True, warn_several=True).first()
+    assert made.normalized.date.value == "2025-03-05" and "policy_no_multiple_candidates" in made.validation.warnings
+    plain = process_text(df, AS_OF).first()
+    assert not plain.normalized.date.success and "policy_no_multiple_candidates" not in plain.validation.warnings
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.text(alphabet="Make Yr:20\x00-9\n\u20b9é\u00a0+()", max_size=60), min_size=10, max_size=40))
+def test_first_line_as_by_lines(spark, texts):
+    """One search of the joined lines finds what a search line by line does, for plain texts and others."""
+    import re
+
+    for pattern in (S.PHONE, S.YEAR, S.MAKE):
+        got = column(spark, texts, lambda x, p=pattern: X.first_found(X.one_text(X.split_lines(x)), p, 1, X.is_plain(x)))
+        own = re.compile(X.ascii_form(pattern).replace("(?i)", ""), re.IGNORECASE if "i" in pattern[:4] else 0)
+        for text, value in zip(texts, got, strict=True):
+            lines = [line.strip() for line in re.split(S.LINE_END, text)]
+            assert value == next((m.group(1) for line in lines if (m := own.search(line))), None)

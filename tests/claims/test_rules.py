@@ -147,3 +147,34 @@ def test_access(spark, capsys):
     assert access.masked_logger("masks") is logger and len(logger.handlers) == 1
     logger.warning("mail %s or 9876543210", "john.doe@example.com")
     assert "joh***@example.com or 98******10" in capsys.readouterr().err
+
+
+def test_settings_from_conf_and_environment():
+    from adjudica.settings import Settings
+
+    conf = {"adjudica.low_score": "0.7"}.get
+    made = Settings.load(conf, {"ADJUDICA_LOW_SCORE": "0.1", "ADJUDICA_ARCHIVE_DAYS": "30"})
+    assert (made.low_score, made.archive_days, made.max_amount) == (0.7, 30, 1e10)
+    with pytest.raises(ValueError):
+        Settings.load(env={"ADJUDICA_FUTURE_DAYS": "soon"})
+
+
+def test_event_hashes_know_no_time_zone(spark, tmp_path):
+    from adjudica.operators import audit
+
+    flat = audit.events(spark.createDataFrame([("c", datetime(2025, 1, 1))], "claim_id string, at timestamp"), "saved", F.lit("{}"), F.col("at"))
+    flat.write.parquet(f"{tmp_path}/events")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        assert audit.broken(spark.read.parquet(f"{tmp_path}/events")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_latest_of_equal_times(spark):
+    from adjudica.operators import review
+
+    rows = [("c", datetime(2025, 1, 1), "a"), ("c", datetime(2025, 1, 1), "b"), ("d", datetime(2025, 1, 2), None)]
+    picked = {tuple(review.latest(spark.createDataFrame(given, "claim_id string, reviewed_at timestamp, comments string").repartition(3)).orderBy("claim_id").collect()) for given in (rows, rows[::-1])}
+    assert len(picked) == 1 and review.latest(spark.createDataFrame(rows, "claim_id string, reviewed_at timestamp, comments string"), tie="comments").filter("claim_id = 'c'").first().comments == "b"
