@@ -347,8 +347,15 @@ def sample(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     own = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(F.col(id_col)) != 0)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     known = documents.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sized = known.select("id", (F.length("text") > most_chars).alias("long")).join(own, "id").groupBy("id", "label").agg(F.min("long").alias("long"))
+    sized = materialize(sized, "labelled")
+    # a hash below this share of all finds about four times what is wanted, however many rows there are
+    near = F.lit(False)
+    for r in sized.groupBy("label", "long").agg(F.count("*").alias("n")).collect():  # four rows
+        most = few if r.long else per_class
+        share = min(1.0, 4 * max(most, 100) / r.n)
+        near = near | ((F.col("label") == r.label) & (F.col("long") == r.long) & (F.xxhash64("id") <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))))
     nth = F.row_number().over(Window.partitionBy("label", "long").orderBy(F.xxhash64("id"), "id"))
-    ids = sized.withColumn("nth", nth).filter(F.col("nth") <= max(per_class, few)).filter(F.col("nth") <= F.when(F.col("long"), few).otherwise(per_class))
+    ids = sized.filter(near).withColumn("nth", nth).filter(F.col("nth") <= F.when(F.col("long"), few).otherwise(per_class))
     ids = ids.drop("nth")  # 2 * (per_class + few) rows at most
     texts = known.join(F.broadcast(ids), "id").filter(F.col("long") == (F.length("text") > most_chars))
     step = F.floor(F.length("text") / 5).cast("int")
