@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from adjudica.llm.common import materialize
 
 K, SCALE, SHARD, BLOCK, LEAF = 20, 64, 4096, 2048, 128
-SAMPLE, ROOTS = 8192, 4096  # vectors that the top is fitted on; root balls that a block meets at once
+SAMPLE, ROOTS = 4096, 4096  # vectors that the top is fitted on; root balls that a block meets at once
 NO_ID, MOST = np.iinfo(np.int64).max, 2**63 - 1
 
 
