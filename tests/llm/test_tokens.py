@@ -119,6 +119,21 @@ def test_token_files_round_trip(spark):
     assert sorted((r.doc_id or -1, r.n_tokens, r.ids_crc32) for r in got) == want
 
 
+def test_many_ranges_and_an_id_that_fills_several(spark):
+    """A third of all rows have one id and text; ids at the ends of what a long holds; null ids first."""
+    rows = [(i * 3 - 300, f"text number {i}", "x", "y") for i in range(200)] + [(7, "the same text each time", "x", "y")] * 110
+    rows += [(None, "no id", "x", "y")] * 150 + [(2**63 - 1, "last", "x", "y"), (-(2**63), "first", "x", "y"), (7, "other", "x", "y")]
+    df = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string").repartition(5)
+    folder, manifest = token_files.write_token_files(df, range_bytes=300, shard_tokens=50)
+    parts = {r.part: r.n_docs for r in manifest.groupBy("part").agg({"n_docs": "sum"}).toDF("part", "n_docs").collect()}
+    assert len(parts) > 10 and max(parts.values()) < 80
+    got = sorted(token_files.read_token_files(folder, manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda d: (d is not None, d))
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+    want = sorted((str(d), zlib.crc32(np.array([*whole(t), 2], "<u4"))) for d, t, *_ in rows)
+    assert sorted((str(r.doc_id), r.ids_crc32) for r in got) == want
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert packing.pack(empty).collect() == [] and token_files.token_files(empty).collect() == []
