@@ -1,12 +1,20 @@
-"""What the operators share: tables by name, and the folder that every executor can see."""
+"""What the operators share: tables by name, and the folder that every executor can see.
+
+Rows go through as they are: nulls, repeated rows and columns of any name stay, and an empty table is written and read
+as one."""
 
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+BROADCAST = 2_000_000  # ids of rows that go, 8 bytes each, which are sent to every executor; beyond it, a join by shuffle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Only where that is unset, as in tests, a folder of our own is set."""
+    """The folder of ``spark.checkpoint.dir``. Only where that is unset and all runs on this machine, as in tests, a
+    folder of our own is set; on a cluster no folder of the driver's would do, so there it raises ValueError."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='adjudica-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -45,3 +56,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     folder = fresh_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def leave_out(df: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """The rows whose id is not among ``gone.doc_id``. Those ids are written first, so that their number is known: up to
+    ``BROADCAST`` of them, the rows that stay are not moved."""
+    gone = materialize(gone.select("doc_id"), "removed")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST else gone
+    return df.join(gone, df[id_col] == gone["doc_id"], "left_anti")
+
+
+def give_back() -> None:
+    """Returns memory that a Python worker no longer uses to the system. Workers stay for the stages that follow, and
+    would hold what the largest batch took for as long."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than GNU's
+        return

@@ -4,8 +4,9 @@ A document's ids are cut into full windows and one remainder. How many pieces th
 the search needs (at most ``window`` numbers), so it runs on the driver at any size of corpus: again and again a
 bitset dynamic programme finds the multiset of remaining lengths that fills a window closest to its capacity,
 always with the largest remaining length in it, and the multiset is used as often as its lengths last. Pieces then
-find their window from their rank among the pieces of their length. Ranks are counted in hash buckets, so that a
-length that a third of all pieces share is spread over many tasks.
+find their window from their rank among the pieces of their length. Ranks are counted in buckets that pieces are dealt
+to by turns, as many as their number asks for, so that a length, an id or a text that a third of all pieces share is
+spread over many tasks.
 
 Null or empty texts are documents of the end id alone. Equal rows are packed each; a null doc_id is an id like any
 other. An empty table gives no rows. Other columns are not read.
@@ -18,19 +19,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from adjudica.llm import units
-from adjudica.llm.common import materialize
+from adjudica.llm.common import give_back, materialize
 
 WINDOW = 2048
 END = 1
-BUCKETS = 512
-PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
+BUCKETS, BUCKET_PIECES = 512, 1_000_000  # at least so many buckets, and more where they would hold more pieces
+PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, deal long"
 
 
 def cutter(path: str, window: int, end: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
         for batch in batches:
             for at, n in units.slices(batch.column(1)):
                 ids, offsets = units.encoder(path).encode(batch.column(1).slice(at, n))
@@ -44,7 +47,10 @@ def cutter(path: str, window: int, end: int):
                 first = begins[doc] + start
                 crc = [zlib.crc32(ids[a : a + m]) for a, m in zip(first.tolist(), length.tolist(), strict=True)]
                 names = batch.column(0).slice(at, n).take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([names, pa.array(start), pa.array(length, pa.int32()), pa.array(crc, pa.int64()), pa.array(sizes[doc])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                deal = pa.array(seen + np.arange(len(start)) + TaskContext.get().partitionId() * 7919)
+                seen += len(start)
+                yield pa.RecordBatch.from_arrays([names, pa.array(start), pa.array(length, pa.int32()), pa.array(crc, pa.int64()), pa.array(sizes[doc]), deal], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "deal"])
+            give_back()
 
     return cut
 
@@ -127,12 +133,14 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
     """One row per piece: where it stands in its document and in its sequence."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     cut = docs.mapInArrow(cutter(path or units.vocabulary_path(), window, end), PIECES)
-    pieces = materialize(cut, "pieces").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(BUCKETS)).cast("int"))
-    tally = materialize(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")), "piece-counts")  # window x BUCKETS rows at most
+    pieces = materialize(cut, "pieces")
+    buckets = max(BUCKETS, pieces.count() // BUCKET_PIECES)
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("deal"), F.lit(buckets)).cast("int"))
+    tally = materialize(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")), "piece-counts")  # window x buckets rows at most
     counts = {r.length: r.n for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # window rows at most
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = tally.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "start")
+    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "deal")
     ranked = pieces.withColumn("nth", F.row_number().over(own)).join(bases, ["length", "bucket"])
     rows = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("nth") - 1).alias("rank"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from adjudica.llm.common import materialize
+from adjudica.llm.common import give_back, materialize
 from adjudica.llm.units import slices
 
 WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 48, 24, 8, 8, 8, 8
@@ -35,7 +35,7 @@ VOCABULARY, LEAST, GRAM_BITS, PER_CLASS, MOST_CHARS, FEW = 20_000, 4, 14, 1_500,
 EPOCHS, STEPS, BATCH, RATE, DECAY, FOLD = 5, 180, 64, 0.01, 0.02, 5
 CHUNK = 2048
 MIX = np.uint64(0x9E3779B97F4A7C15)
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -348,11 +348,11 @@ def sample(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     known = documents.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sized = known.select("id", (F.length("text") > most_chars).alias("long")).join(own, "id").groupBy("id", "label").agg(F.min("long").alias("long"))
     sized = materialize(sized, "labelled")
-    # a hash below this share of all finds about four times what is wanted, however many rows there are
+    # a hash below this share of all finds about twice what is wanted, however many rows there are
     near = F.lit(False)
     for r in sized.groupBy("label", "long").agg(F.count("*").alias("n")).collect():  # four rows
         most = few if r.long else per_class
-        share = min(1.0, 4 * max(most, 100) / r.n)
+        share = min(1.0, 2 * max(most, 100) / r.n)
         near = near | ((F.col("label") == r.label) & (F.col("long") == r.long) & (F.xxhash64("id") <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))))
     nth = F.row_number().over(Window.partitionBy("label", "long").orderBy(F.xxhash64("id"), "id"))
     ids = sized.filter(near).withColumn("nth", nth).filter(F.col("nth") <= F.when(F.col("long"), few).otherwise(per_class))
@@ -386,6 +386,8 @@ def trainer(prior: float, few: int):
                 used.append(r)
         used.sort(key=lambda r: str(r["id"]))
         made = [freeze(train([r["text"] for r in used], [r["label"] for r in used], prior))] if len({r["label"] for r in used}) == 2 else []
+        del rows, used
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["model"])
 
     return run
@@ -413,6 +415,7 @@ def score_column(text: Column, model: Network | float) -> Column:
     def scored(texts: pa.Array) -> pa.Array:
         net = Network(*held.value)
         parts = [net.scores(texts.slice(at, n)) for at, n in slices(texts, SLICE)]
+        give_back()
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return scored(text)

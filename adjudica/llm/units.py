@@ -3,7 +3,8 @@
 A byte-level BPE tokenizer encodes each pre-token on its own, so equal pre-tokens have equal ids. Arrow's kernels
 lower-case and cut a batch of texts, each distinct pre-token goes through the library's BPE model once, and numpy
 gathers the ids. That holds for texts whose characters Arrow and the library lower-case and classify alike and
-that NFC leaves alone (``PLAIN``); any other text goes through the library whole.
+that NFC leaves alone (not ``NOT_PLAIN``); any other text goes through the library whole. A null or empty text has no
+ids, texts of any length are encoded whole, equal texts have equal ids, and an array of none gives none.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ NOT_PLAIN = (
 # The pre-tokenizer's alternatives but for runs of letters, in its order.
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|\pN|[^\s\pL\pN]+"
 SPECIAL = "<|"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
