@@ -8,7 +8,8 @@
 3. The top of each tree, fitted on a bounded sample, deals the fingerprints to shards: by the triangle inequality a
    pair that a node separates has its inner one within the radius of the border, so inner border points also go to
    the outer child, and every pair meets in at least one shard. Each shard goes on with a tree of its own points and
-   compares whole fingerprints at the leaves. Its result is a spanning star per group, never all pairs.
+   compares whole fingerprints at the leaves. Its result is a spanning star per group, never all pairs. A shard that
+   the top leaves too dense is dealt to parts, which meet two by two.
 4. Groups grow together by large-star and small-star steps until nothing changes.
 
 Null and empty texts have the fingerprint zero and link like any other. Equal rows are kept each. A null doc_id is
@@ -24,11 +25,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from adjudica.llm.common import materialize
+from adjudica.llm.common import give_back, leave_out, materialize
 
 WORDS, BITS, SEED = 4, 4, 42
 SAMPLE = 16_384  # fingerprints that the tops of the trees are fitted on
 SHARD = 2_048  # fingerprints a shard, before border points
+DENSE = 8  # times SHARD: a shard with more, border points included, is divided further
 LEAF = 192
 CHUNK = 1 << 15
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -57,6 +59,7 @@ def fingerprint_column(text: Column, words: int = WORDS, seed: int = SEED) -> Co
     @F.arrow_udf("long")
     def made(texts: pa.Array) -> pa.Array:
         values = np.fromiter((fingerprint(t.as_py(), words, seed) for t in texts), np.uint64, len(texts))
+        give_back()
         return pa.array(values.view(np.int64))
 
     return made(text)
@@ -188,20 +191,25 @@ def components(links: DataFrame) -> DataFrame:
     return edges
 
 
-def tree_links(points: DataFrame, bits: int = BITS, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
+def tree_links(points: DataFrame, bits: int = BITS, sample: int = SAMPLE, shard: int = SHARD, dense: int = DENSE) -> DataFrame:
     """Links (a, b) that connect all fingerprints within ``bits`` of each other, from distinct ``fp``: stars, never all pairs."""
     n = points.count()
     some = np.array([r.fp for r in points.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], np.int64).view(np.uint64)
     depth = max(0, int(np.ceil(np.log2(max(1, n / shard)))))
     tops = [Top(some, depth, mask, radius, seed) for seed, (mask, radius) in enumerate(blocks(bits))]
-    dealt = points.mapInArrow(dealer(tops), "block int, shard long, fp long")
-    return dealt.groupBy("block", "shard").applyInPandas(shard_links(bits), "a long, b long")
+    dealt = materialize(points.mapInArrow(dealer(tops), "block int, shard long, fp long"), "dealt-points")
+    # a shard that the top didn't divide is dealt to parts by hash, and every part meets every other in a task of its own
+    sizes = dealt.groupBy("block", "shard").agg(F.ceil(F.count("*") / (dense * shard)).alias("parts"))
+    own = dealt.join(sizes, ["block", "shard"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    own = own.select("block", "shard", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "fp")
+    return own.groupBy("block", "shard", "i", "j").applyInPandas(shard_links(bits), "a long, b long")
 
 
-def classes(fps: DataFrame, bits: int = BITS, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
+def classes(fps: DataFrame, bits: int = BITS, sample: int = SAMPLE, shard: int = SHARD, dense: int = DENSE) -> DataFrame:
     """(fp, root, component_id) of every class of equal fingerprints, from (doc_id, fp) per document."""
     own = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    links = tree_links(own.select("fp"), bits, sample, shard)
+    links = tree_links(own.select("fp"), bits, sample, shard, dense)
     found = components(links).select(F.col("b").alias("fp"), F.col("a").alias("root"))
     found = found.union(found.select(F.col("root").alias("fp"), "root").distinct())
     linked = materialize(found.join(own, "fp"), "linked")
@@ -227,8 +235,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     known = classes(fps, bits)
     repeated = fps.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count()
     if not repeated:
-        kept = known.select("component_id").distinct()
-        return df.join(kept, df[id_col] == kept["component_id"], "left_semi")
+        return leave_out(df, id_col, fps.join(known, "fp").filter("doc_id <> component_id"))
     rows = df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), fingerprint_column(F.col(text_col), words).alias("fp"))
     firsts = rows.join(known, "fp").filter(F.col("id").eqNullSafe(F.col("component_id")))
     one = firsts.withColumn("nth", F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("row")))).filter("nth = 1")
