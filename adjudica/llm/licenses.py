@@ -1,6 +1,8 @@
 """Licence scans: lines, paragraphs and whole texts against licence templates by Dice over word bigrams.
 
-A unit is a line, a paragraph of several lines, or a text of several paragraphs. Normalised, it is its runs of
+A unit is a line, a paragraph of several lines, a sentence (over line ends, as notices are wrapped; where a text has more
+than one), or a text of several paragraphs. A notice of several sentences is found where lines, a paragraph or the text
+hold it and little else; whole licences have no template here, only their notices, headers and first clauses. Normalised, it is its runs of
 letters a-z and digits in lower case, joined by spaces. With A and B bigrams (repeats included), a unit and a
 template whose bigrams overlap in C (smaller count of each) have the coefficient 2C / (A + B). To reach the least
 coefficient t, A must lie between B t / (2 - t) and B (2 - t) / t, so units outside all templates' bounds go before
@@ -20,6 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 LEAST = 0.8
+BREAK = "\x01"  # between sentences, while a text is cut
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Licence notices and headers as their publishers word them.
@@ -109,23 +112,28 @@ def units_of(text: Column) -> Column:
 
     many = F.filter(F.transform(paragraphs, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: F.contains(p["x"], F.lit("\n")))
     whole = F.when(F.size(paragraphs) > 1, F.array(F.struct(F.lit("text").alias("unit"), F.lit(0).alias("unit_no"), normalised(text).alias("norm"))))
+    cut = F.regexp_replace(F.regexp_replace(text, "\n[ \t\r]*\n", BREAK), r"([.!?])\s+", f"$1{BREAK}")
+    sentences = F.filter(F.split(cut, BREAK), lambda x: x != "")
+    sentences = F.when(F.size(sentences) > 1, sentences).otherwise(F.array().cast("array<string>"))
     kind = "array<struct<unit:string,unit_no:int,norm:string>>"
     return F.concat(
         F.transform(lines, unit("line")).cast(kind),
+        F.transform(sentences, unit("sentence")).cast(kind),
         F.transform(many, lambda p: F.struct(F.lit("paragraph").alias("unit"), p["i"].alias("unit_no"), normalised(p["x"]).alias("norm"))).cast(kind),
         F.coalesce(whole.cast(kind), F.array().cast(kind)),
     )
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """doc_id, unit, unit_no, license_id, n_bigrams, dice of every unit and template that reach ``least``."""
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, least: float = LEAST, tell: bool = True) -> DataFrame:
+    """doc_id, unit, unit_no, license_id, n_bigrams, dice of every unit and template that reach ``least``. ``tell``:
+    texts without a telling word go first, which loses nothing."""
     spark = df.sparkSession
     rows = template_rows(templates, least)
     low, high = min(r[2] for r in rows), max(r[3] for r in rows)
     low_case, told = F.lower(F.col(text_col)), F.lit(False)
     for word in telling_words(templates, least):
         told = told | F.contains(low_case, F.lit(word))
-    docs = df.filter(told).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    docs = (df.filter(told) if tell else df).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
     units = docs.select("row", "doc_id", F.inline(units_of(F.col("text"))))
     spaces = F.length("norm") - F.length(F.translate("norm", " ", ""))  # of single spaces between words: the bigrams
     sized = units.withColumn("n_bigrams", spaces.cast("long")).filter((F.col("n_bigrams") >= low) & (F.col("n_bigrams") <= high))

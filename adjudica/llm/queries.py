@@ -138,8 +138,10 @@ def op5_sql() -> str:
     return rf"""
 WITH t(license_id, template_bigrams, lo, hi, bigram, times) AS (VALUES {rows}),
 d AS (SELECT row_number() OVER () AS r, doc_id, text, regexp_split_to_array(text, '\n[ \t\r]*\n') AS p FROM documents WHERE text IS NOT NULL AND text <> ''),
+q AS (SELECT r, doc_id, list_filter(string_split(regexp_replace(regexp_replace(text, '\n[ \t\r]*\n', chr(1), 'g'), '([.!?])[\t-\r ]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS q FROM d),
 u AS (SELECT r, doc_id, 'line' AS unit, unnest(range(len(string_split(text, chr(10))))) AS unit_no, unnest(string_split(text, chr(10))) AS x FROM d
     UNION ALL SELECT * FROM (SELECT r, doc_id, 'paragraph', unnest(range(len(p))), unnest(p) AS x FROM d) WHERE contains(x, chr(10))
+    UNION ALL SELECT r, doc_id, 'sentence', unnest(range(len(q))), unnest(q) FROM q WHERE len(q) > 1
     UNION ALL SELECT r, doc_id, 'text', 0, text FROM d WHERE len(p) > 1),
 n AS (SELECT r, doc_id, unit, unit_no, string_split(trim(regexp_replace(translate(x, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM u),
 b AS (SELECT r, doc_id, unit, unit_no, len(w) - 1 AS n_bigrams, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram FROM n),
