@@ -1,14 +1,17 @@
-"""PDF pages and pictures. The engines that open them (PDF library, OCR) are adapters that a deployment brings; what
-follows from their output is native. Without an adapter a file gives the documented empty row."""
+"""PDF pages and pictures. Text layers are read by ``pdf``; the engines for anything else (rendering, OCR) are adapters
+that a deployment brings, and what follows from their output is native. Without an adapter a file gives the documented
+empty row."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from adjudica.functions import numeric as Q, text as X
-from adjudica.sources.files import map_files
+from adjudica.sources.files import TYPES, ending, map_files
+from adjudica.sources.pdf import has_text, read_pdf
 
 BLOCK = "struct<x0:double,y0:double,x1:double,y1:double,text:string,no:int>"
 WORD = "struct<text:string,left:int,top:int,width:int,height:int,conf:double>"
@@ -18,8 +21,23 @@ WORD_ROWS = f"words array<{WORD}>, engine string"
 
 
 def open_pdf(files: DataFrame, adapter: Callable[[bytes], list[dict]] | None = None) -> DataFrame:
-    """One row per page, by the adapter; else one row that says so."""
-    return map_files(files, adapter or (lambda raw: [{"page_no": 0, "layer": "", "blocks": [], "notes": "no PDF engine"}]), PAGE_ROWS)
+    """One row per page, by the adapter or else by ``pdf.read_pdf``; a file that can't be read is one row that says so."""
+    return map_files(files, adapter or read_pdf, PAGE_ROWS)
+
+
+def text_layer(files: DataFrame) -> DataFrame:
+    """Adds ``has_text``: whether one of a PDF's first two pages has any text; null for other files."""
+    @F.arrow_udf("boolean")
+    def probe(contents: pa.Array) -> pa.Array:
+        return pa.array([has_text(c.as_py()) for c in contents], pa.bool_())
+
+    is_pdf = ending(F.col("path")).isin(*TYPES["pdf"])
+    return files.withColumn("has_text", F.when(is_pdf, probe(F.when(is_pdf, F.col("content")))))
+
+
+def pdf_texts(files: DataFrame) -> DataFrame:
+    """path, raw_text and num_pages of the PDFs among routed files."""
+    return document_text(assess_pages(open_pdf(files.filter("type = 'pdf'"))))
 
 
 def page_images(files: DataFrame, adapter: Callable[[bytes], list[dict]] | None = None) -> DataFrame:
