@@ -64,7 +64,7 @@ def merged(fields: Column, corrected: Column) -> Column:
 def finals(all_tasks: DataFrame, feedback: DataFrame, finalized_at: Column, key: str = "claim_id") -> DataFrame:
     """claim, text, fields, decision, comments and reviewer after the last submission. Tasks have raw_text, fields
     (a map) and decision (text); feedback corrected_fields, corrected_text, overridden_decision, comments, reviewer."""
-    joined = all_tasks.alias("t").join(latest(feedback).alias("f"), key, "left")
+    joined = all_tasks.alias("t").join(latest(feedback, key).alias("f"), key, "left")
     return joined.select(
         key, finalized_at.alias("finalized_at"),
         F.coalesce(F.nullif(F.col("f.corrected_text"), F.lit("")), "t.raw_text").alias("raw_text"),

@@ -335,7 +335,14 @@ def fallback_summary(spark, sf_dir):
     return made.select("claim_key", "s.summary", "s.decision", "s.reasoning")
 
 
-@query()
+# The chain from raw columns on, over what was extracted from the texts instead of the claims' own columns.
+TEXT_ROWS = f"""x0 AS ({sql_extracted(*S.FIELDS)} SELECT claim_key, NULL AS segment, NULL AS nationkey, {', '.join(S.FIELDS)}, coalesce(policy_no, nullif(regexp_extract(x, '(?i)P[NO]L?/?\\w+'), ''), '') AS any_policy FROM e)"""
+TEXT_DECIDED = DECIDED.replace(" FROM c)", " FROM x0)", 1).replace(f"WITH {CLAIMS}", f"WITH {TEXT_ROWS}", 1)
+
+
+@query(f"""{TEXT_DECIDED} SELECT e.claim_key, round(risk, 3) AS risk_score, recommendation, {sql_string('any_policy')} AS policy_no,
+  'Claim ' || coalesce(x0.claim_id, 'Unknown') || ' for ' || coalesce(x0.vehicle, 'Unknown') || ', estimated amount ' || coalesce(printf('%.2f', try_cast(replace(regexp_extract(x0.amount_estimated, '[0-9][0-9,.]*'), ',', '') AS DOUBLE)), 'Unknown') || '.' AS summary,
+  decision, decision = 'review' OR len(low) > 0 AS hitl_required FROM e JOIN x0 ON e.claim_key = x0.claim_key""")
 def text_to_decision(spark, sf_dir):
     """Text to decision, on every form."""
     made = process_text(forms(spark, sf_dir), AS_OF)
