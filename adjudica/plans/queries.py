@@ -448,7 +448,11 @@ def json_extract(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.try_variant_get(X.tolerant_json(F.col("props")), "$.k", "string").alias("k"))
 
 
-@query()
+SQL_TOKENS = "regexp_extract_all(html, '(?s)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|</?[a-zA-Z!][^>]*>|[^<]+|<')"
+SQL_PIECE = "CASE WHEN regexp_matches(t, '^(?s:<(script|style).*)$') THEN regexp_replace(t, '(?s)^<[^>]*>(.*)</(script|style)>$', '\\1') WHEN regexp_matches(t, '^</?[a-zA-Z!]') THEN '' ELSE replace(replace(replace(replace(regexp_replace(t, '&amp;?', chr(1), 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), chr(1), '&') END"
+
+
+@query(f"SELECT page_id, array_to_string(list_filter(list_transform({SQL_TOKENS}, lambda t: {SQL_PIECE}), lambda t: t <> ''), chr(10)) AS page_text FROM pages")
 def html_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", html_to_text(F.col("html")).alias("page_text"))
 
