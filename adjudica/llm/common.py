@@ -10,10 +10,13 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+BATCH_ROWS = 2000
 BROADCAST = 2_000_000  # ids of rows that go, 8 bytes each, which are sent to every executor; beyond it, a join by shuffle
 
 
@@ -50,11 +53,28 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
         return
 
 
+@contextmanager
+def writing(spark: SparkSession) -> Iterator[None]:
+    """Within, Python gets batches of at most ``BATCH_ROWS`` rows, as texts are long and both sides hold whole batches;
+    and what a write shuffled goes once it is done, as only the written table is read again."""
+    rows, clean = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = {name: spark.conf.get(name) for name in (rows, clean)}
+    most = int(before[rows])
+    spark.conf.set(rows, str(min(BATCH_ROWS, most) if most > 0 else BATCH_ROWS))
+    spark.conf.set(clean, "true")
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes the rows as Parquet into the shared folder and reads them back, so that a lost
     executor costs no recomputation of what stands above."""
     folder = fresh_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(folder)
+    with writing(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

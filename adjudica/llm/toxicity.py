@@ -221,6 +221,13 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -
     return (np.log((toxic + 1) / (n_toxic + 2)) - np.log((clean + 1) / (n_clean + 2))) * np.maximum(0, seen - 2) / (seen + 6)
 
 
+def text_runs(text: np.ndarray, most: int):
+    """(start, end) of runs of whole texts, of about ``most`` rows each, from the ascending number of each row's text."""
+    firsts = np.flatnonzero(np.diff(text, prepend=-1))
+    cuts = firsts[np.unique(firsts // most, return_index=True)[1]].tolist()
+    return zip(cuts, [*cuts[1:], len(text)])
+
+
 def first_params(vocabulary: pa.Array, codes: np.ndarray, offsets: np.ndarray, labels: np.ndarray, words: Words, rng) -> tuple[dict, np.ndarray]:
     n_toxic, n_clean = int(labels.sum()), int((1 - labels).sum())
     text = np.repeat(np.arange(len(labels)), np.diff(offsets))
@@ -245,8 +252,8 @@ def first_params(vocabulary: pa.Array, codes: np.ndarray, offsets: np.ndarray, l
     begin = np.cumsum(counts) - counts
     votes = [np.zeros(1 << GRAM_BITS), np.zeros(1 << GRAM_BITS)]
     doc = pairs // max(1, len(vocabulary))
-    for at in range(0, len(pairs), 200_000):
-        w, d = word[at : at + 200_000], doc[at : at + 200_000]
+    for at, end in text_runs(doc, 40_000):
+        w, d = word[at:end], doc[at:end]
         flat = np.repeat(begin[w], counts[w]) + np.arange(counts[w].sum()) - np.repeat(np.cumsum(counts[w]) - counts[w], counts[w])
         seen = np.unique(np.repeat(d, counts[w]) * np.int64(1 << GRAM_BITS) + grams[flat])
         for k in (0, 1):

@@ -172,3 +172,12 @@ def test_forward_as_by_plain_loops(model):
     for text, logit in zip(texts, got):
         if text:
             assert logit == pytest.approx(plain(text), rel=1e-3, abs=1e-3)
+
+
+def test_runs_hold_whole_texts():
+    text = np.repeat(np.arange(50), np.random.default_rng(2).integers(1, 30, 50))
+    for most in (1, 7, 100, 10**6):
+        runs = list(T.text_runs(text, most))
+        assert [a for a, _ in runs] == [0, *(b for _, b in runs[:-1])] and runs[-1][1] == len(text)
+        assert not any(a and text[a - 1] == text[a] for a, _ in runs) and all(b - a <= most + 60 for a, b in runs)
+    assert list(T.text_runs(text[:0], 5)) == []
