@@ -10,7 +10,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -40,9 +40,36 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared one, removed when the driver ends."""
     folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(remove_folder, spark, folder)
+    if SCRATCH:
+        SCRATCH[-1].append(folder)
     return folder
 
 
+SCRATCH: list[list[str]] = []  # for each scope that is open, the folders made within
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A scope whose tables go when it ends, but for those passed to what it yields. Whatever leaves the scope must
+    read no other table of it, so that nothing that is gone is ever needed again, after a lost executor either."""
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._folder)
+        return df
+
+    SCRATCH.append([])
+    try:
+        yield keep
+    finally:
+        made = SCRATCH.pop()
+        for folder in made:
+            if folder not in kept:
+                remove_folder(spark, folder)
+        if SCRATCH:
+            SCRATCH[-1].extend(f for f in made if f in kept)
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
     if spark.sparkContext._jsc is None:
         return
@@ -75,13 +102,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     folder = fresh_folder(df.sparkSession, name)
     with writing(df.sparkSession):
         df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out._folder = folder
+    return out
 
 
 def leave_out(df: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
-    """The rows whose id is not among ``gone.doc_id``. Those ids are written first, so that their number is known: up to
-    ``BROADCAST`` of them, the rows that stay are not moved."""
-    gone = materialize(gone.select("doc_id"), "removed")
+    """The rows whose id is not among ``gone.doc_id``, a written table, whose size is known: up to ``BROADCAST`` ids, the
+    rows that stay are not moved."""
     gone = F.broadcast(gone) if gone.count() <= BROADCAST else gone
     return df.join(gone, df[id_col] == gone["doc_id"], "left_anti")
 

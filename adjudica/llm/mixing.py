@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from adjudica.llm.common import materialize
+from adjudica.llm.common import materialize, scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST, DRAWS = 3, 16
@@ -122,7 +122,8 @@ def shares(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST) -> DataFrame:
     """Each document as often as its copies say, with its own columns, whatever their names."""
-    narrow = materialize(df.select(*sized(df, id_col, text_col, source_col)), "sizes")
+    with scratch(df.sparkSession) as keep:
+        planned = keep(plan(materialize(df.select(*sized(df, id_col, text_col, source_col)), "sizes"), most))
     rows = df.select(F.struct("*").alias("row"), *sized(df, id_col, text_col, source_col))
-    taken = drawn(rows, plan(narrow, most)).filter("copies > 0")
+    taken = drawn(rows, planned).filter("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

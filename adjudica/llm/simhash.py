@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from adjudica.llm.common import give_back, leave_out, materialize
+from adjudica.llm.common import give_back, leave_out, materialize, scratch
 
 WORDS, BITS, SEED = 4, 4, 42
 SAMPLE = 16_384  # fingerprints that the tops of the trees are fitted on
@@ -177,7 +177,11 @@ def components(links: DataFrame) -> DataFrame:
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    edges = materialize(tidy(links), "links")
+    with scratch(links.sparkSession) as keep:
+        return keep(settled(materialize(tidy(links), "links"), tidy, state))
+
+
+def settled(edges: DataFrame, tidy, state) -> DataFrame:
     before, now = None, state(edges)
     while now != before:
         both = edges.union(edges.select(F.col("b"), F.col("a"))).toDF("u", "v")
@@ -235,7 +239,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     known = classes(fps, bits)
     repeated = fps.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count()
     if not repeated:
-        return leave_out(df, id_col, fps.join(known, "fp").filter("doc_id <> component_id"))
+        return leave_out(df, id_col, materialize(fps.join(known, "fp").filter("doc_id <> component_id").select("doc_id"), "removed"))
     rows = df.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), fingerprint_column(F.col(text_col), words).alias("fp"))
     firsts = rows.join(known, "fp").filter(F.col("id").eqNullSafe(F.col("component_id")))
     one = firsts.withColumn("nth", F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("row")))).filter("nth = 1")

@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from adjudica.llm.common import give_back, materialize
+from adjudica.llm.common import give_back, materialize, scratch
 from adjudica.llm.units import slices
 
 WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 48, 24, 8, 8, 8, 8
@@ -407,9 +407,10 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     toxic, clean = shares.get(1, 0), shares.get(0, 0)
     if not toxic or not clean:
         return float(bool(toxic))
-    rows = sample(documents, labels, id_col, text_col, label_col, per_class, most_chars, few)
-    made = materialize(rows.repartition(1).mapInArrow(trainer(toxic / (toxic + clean), few), "model binary"), "toxicity-model")
-    models = made.collect()  # one at most
+    with scratch(documents.sparkSession):
+        rows = sample(documents, labels, id_col, text_col, label_col, per_class, most_chars, few)
+        made = materialize(rows.repartition(1).mapInArrow(trainer(toxic / (toxic + clean), few), "model binary"), "toxicity-model")
+        models = made.collect()  # one at most
     return thaw(models[0].model) if models else toxic / (toxic + clean)
 
 
