@@ -345,7 +345,7 @@ TEXT_DECIDED = DECIDED.replace(" FROM c)", " FROM x0)", 1).replace(f"WITH {CLAIM
   decision, decision = 'review' OR len(low) > 0 AS hitl_required FROM e JOIN x0 ON e.claim_key = x0.claim_key""")
 def text_to_decision(spark, sf_dir):
     """Text to decision, on every form."""
-    made = process_text(forms(spark, sf_dir), AS_OF)
+    made = process_text(forms(spark, sf_dir), AS_OF, extracted=S.FIELDS, inferred=("policy_no",))
     return made.select("claim_key", F.col("validation.risk_score").alias("risk_score"), F.col("validation.recommendation").alias("recommendation"), F.col("inferred.policy_no.value").alias("policy_no"), F.col("summary.summary").alias("summary"), F.col("decision.decision").alias("decision"), "hitl_required")
 
 

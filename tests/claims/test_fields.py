@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from adjudica import settings as S
 from adjudica.functions import normalize as N, redact as R, text as X
+from adjudica.operators import extract as E
 from adjudica.operators.extract import extract_fields, whole_amount
 from adjudica.sources import adapters
 
@@ -207,3 +208,18 @@ def test_first_line_as_by_lines(spark, texts):
         for text, value in zip(texts, got, strict=True):
             lines = [line.strip() for line in re.split(S.LINE_END, text)]
             assert value == next((m.group(1) for line in lines if (m := own.search(line))), None)
+
+
+def test_a_pattern_runs_once_in_a_held_value(spark):
+    x = F.col("x")
+    made = spark.createDataFrame([("Ab 1",), ("",), (None,)], "x string").select(X.held(X.found(x, "([A-Z]b)")).alias("y"), X.held(E.phone_value(X.found(x, r"(\d)"))).alias("z"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 2
+    assert [tuple(r) for r in made.collect()] == [("Ab", "1"), (None, None), (None, None)]
+
+
+def test_lines_are_searched_from_the_first_match_on(spark):
+    texts = ["one\n vehicle\nVehicle:  Red  Car \nwith 2 racks\n\nMake: X", "a\x00Vehicle: Blue\nVehicle: Green\n", "none", "Vehicle: é Van\nloss", "\n\nVehicle: Last"]
+    want = ["Red  Car with 2 racks", "Blue Vehicle: Green", None, "é Van loss", "Last"]
+    made = E.extract_fields(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, raw_text string"), names=("vehicle",)).orderBy("i")
+    assert [r.extracted.vehicle.value for r in made.collect()] == want
