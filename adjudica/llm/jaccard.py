@@ -14,6 +14,8 @@
    of near copies at one comparison a copy. Only bands that still hold classes of several parts go on: their classes
    meet in blocks of 512, a block of one part only with blocks of others, band by band or a component at once, so that
    still every pair which shares a band is compared or linked by way of others, and no task holds more than two blocks.
+   So do classes of several parts that agree in three of the eight bytes of their fingerprints, which holds every pair
+   within 5 bits: the pairs that are compared don't depend on a component's size.
 5. Groups grow together from the links as they do for fingerprints.
 
 Null and empty texts are one class. A null doc_id is never the smallest of a group, unless all are null.
@@ -21,6 +23,8 @@ Null and empty texts are one class. A null doc_id is never the smallest of a gro
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -204,13 +208,21 @@ def parts_of(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(nodes.select("sig").join(found, "sig", "left").select("sig", F.coalesce("root", "sig").alias("part")), "parts")
 
 
+def near_keys(fp: Column, bits: int) -> Column:
+    """Keys of which two fingerprints share one at least if they differ in ``bits`` bits or fewer: as many bits leave
+    all but that many of the eight bytes equal."""
+    kept = combinations(range(8), max(0, 8 - bits))
+    masks = np.array([sum(255 << 8 * at for at in some) for some in kept], np.uint64).view(np.int64).tolist()
+    return F.array(*[F.xxhash64(fp.bitwiseAND(F.lit(m).cast("long")), F.lit(nth + 1)) for nth, m in enumerate(masks)])
+
+
 def of_round(nth: int):
     return lambda key: F.pmod(key, F.lit(ROUNDS)) == nth
 
 
 def in_rounds(keyed: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """Links of large components by one comparison a class and round, each round over a part of the keys, and the parts
-    that they make. ``keyed``: (root, sig, keys) of classes that share keys."""
+    that they make. ``keyed``: (root, sig, keys, near) of classes that share keys; ``near`` only counts in ``left_over``."""
     nodes = keyed.select("sig")
     parts, links, tested = nodes.withColumn("part", F.col("sig")), None, None
     for nth in range(ROUNDS):
@@ -237,9 +249,9 @@ def left_over(keyed: DataFrame, parts: DataFrame, block: int) -> DataFrame:
     """(sig, part, block, place): the classes of bands that still hold several parts, dealt to pairs of blocks. Of a
     component either each such band is dealt (those that hold the same classes once) or all its classes in such bands
     together, whichever moves fewer rows: the first where bands are small, the second where most classes are one part.
-    ``keyed``: (root, sig, keys). A part with more than a block's worth has blocks of its own, which don't meet each
+    ``keyed``: (root, sig, keys, near). A part with more than a block's worth has blocks of its own, which don't meet each
     other; the others share blocks."""
-    each = keyed.join(parts, "sig").select("root", "sig", "part", F.explode("keys").alias("key"))
+    each = keyed.join(parts, "sig").select("root", "sig", "part", F.explode(F.concat("keys", "near")).alias("key"))
     sums = each.groupBy("root", "key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("h"))
     keys = sums.filter("low < high").groupBy("root", "n", "h").agg(F.min("key").alias("key")).select("root", "key")
     open_ = materialize(each.join(keys, ["root", "key"]), "open")
@@ -288,9 +300,11 @@ def verified(df: DataFrame, id_col: str, text_col: str, own: DataFrame, words: i
     large = dealt.filter(F.col("n") > block)
     if not large.limit(1).count():
         return links
-    every = large.select("root", "sig", F.explode(F.concat("keys", F.array(F.xxhash64("fp", F.lit(0))))).alias("key"))
+    own_keys = F.concat("keys", F.array(F.xxhash64("fp", F.lit(0))))
+    every = large.select("root", "sig", F.posexplode(F.concat(own_keys, near_keys(F.col("fp"), bits))).alias("at", "key"))
     shared = materialize(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "large-keys")
-    keyed = every.join(shared, "key").groupBy("root", "sig").agg(F.collect_list("key").alias("keys"))  # a class has BANDS + 1 at most
+    of = lambda which: F.collect_list(F.when(which, F.col("key")))  # noqa: E731  a class has BANDS + 1 and 70 at most
+    keyed = every.join(shared, "key").groupBy("root", "sig").agg(of(F.col("at") <= BANDS).alias("keys"), of(F.col("at") > BANDS).alias("near"))
     keyed = materialize(keyed, "keyed")
     own_sets = materialize(sets.join(large.select("sig"), "sig"), "large-sets")
     stars, parts = in_rounds(keyed, own_sets, similarity)

@@ -114,3 +114,15 @@ def test_null_and_repeated_ids(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (4, "A b c d e f"), (4, "a b c d e f"), (None, "alone words of nobody at all"), (7, ""), (7, "other text with id seven")]
     kept = J.keep_one(spark.createDataFrame([(d, t, None, None) for d, t in rows], SCHEMA)).collect()
     assert sorted((str(r.doc_id), (r.text or "").lower()) for r in kept) == [("4", "a b c d e f"), ("7", ""), ("7", "other text with id seven"), ("None", "alone words of nobody at all")]
+
+
+def test_near_fingerprints_without_a_shared_band_in_components_of_any_size(spark):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(900)}" for _ in range(3000)]
+    rows = [(i, " ".join([*base[: 100 * i], "other", *base[100 * i + 1 :]])) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = df.select(F.col("doc_id").alias("least"), J.sketch(F.col("text"), 5, False).alias("s")).select("least", "s.sig", "s.fp")
+    own = J.materialize(made.withColumn("keys", F.array(*[F.xxhash64("sig", F.lit(k)) for k in range(J.BANDS)])), "own")  # no band is shared
+    for block in (512, 2):
+        linked = J.with_roots(J.verified(df, "doc_id", "text", own, 5, (4, 5), 5, block, False)).collect()
+        assert len({r.sig for r in linked}) == 6 and len({r.root for r in linked}) == 1, block
